@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from navgraph.llm import packing, token_store
+from navgraph.llm import line_dedup, packing, quality_rules, simhash, token_store
 from navgraph.llm.common import new_path, table
 
 
@@ -14,11 +15,27 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten documents share: counts of lines and the digest of what stays."""
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of all documents' pieces in sequences of 1,024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word, symbol and repetition figures of every document, and the verdict."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints over four-word shingles, linked at four bits or fewer."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents' ids to a content-addressed store and read their digests back from its files."""
     root = new_path(spark, "token-store")
@@ -26,5 +43,19 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, root)
 
 
-QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op9_token_store": op9_token_store}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_best_fit_packing, op5_quality_rules, op8_simhash, op9_token_store)}
+
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": r"""
+        WITH lines AS (
+          SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                 generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+          FROM documents),
+        keyed AS (
+          SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+        frequent AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(f.k) AS n_dropped,
+               sha256(coalesce(string_agg(CASE WHEN f.k IS NULL THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
+        FROM keyed LEFT JOIN frequent f ON f.k = keyed.k GROUP BY doc_id""",
+}

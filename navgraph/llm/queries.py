@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navgraph.llm import line_dedup, packing, quality_rules, simhash, token_store
-from navgraph.llm.common import new_path, table
+from navgraph.llm import line_dedup, packing, quality_rules, secret_scan, simhash, token_store, toxicity
+from navgraph.llm.common import crc_mod, new_path, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -26,6 +26,15 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text; labels are learnt from rows whose crc32(doc_id) is not divisible by 5."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(crc_mod("doc_id", 5) != 0)
+    model = toxicity.fit(docs.where(crc_mod("doc_id", 5) != 0).join(labels, "doc_id"), fit_rows=20_000)
+    scored = toxicity.score(docs.withColumn("held_out", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))), model, ["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word, symbol and repetition figures of every document, and the verdict."""
     return quality_rules.judge(table(spark, sf_dir, "documents"))
@@ -43,7 +52,13 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, root)
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_best_fit_packing, op5_quality_rules, op8_simhash, op9_token_store)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with the forest's score."""
+    model = secret_scan.fit(secret_scan.labelled_findings(spark))
+    return secret_scan.scan(table(spark, sf_dir, "documents"), model)
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_best_fit_packing, op4_toxicity, op5_quality_rules, op8_simhash, op9_token_store, op10_secret_scan)}
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navgraph.llm import line_dedup, packing, quality_rules, secret_scan, simhash, token_store, toxicity
+from navgraph.llm import decontaminate, language_id, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash, token_store, toxicity
 from navgraph.llm.common import crc_mod, new_path, table
 
 
@@ -15,6 +15,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item with edits up to 8 % of its length, with the item and the edits."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), budget=0.08)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten documents share: counts of lines and the digest of what stays."""
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
@@ -40,6 +45,20 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text by the scorer that weak labels trained; no given label is read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_classifier.score(docs, quality_classifier.fit(docs, fit_rows=6_000), ["doc_id"])
+    return scored.select("doc_id", "score", "predicted", (F.col("predicted") == 1).alias("kept"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text; learnt from rows whose crc32(doc_id) modulo 4 is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(crc_mod("doc_id", 4) != 2), fit_rows=4_000)
+    return language_id.predict(docs.withColumn("held_out", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))), model, ["doc_id", "held_out"])
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints over four-word shingles, linked at four bits or fewer."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
@@ -58,7 +77,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"), model)
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_best_fit_packing, op4_toxicity, op5_quality_rules, op8_simhash, op9_token_store, op10_secret_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_line_dedup, op3_best_fit_packing, op4_toxicity, op5_quality_rules,
+        op6_quality_classifier, op7_language_id, op8_simhash, op9_token_store, op10_secret_scan,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": r"""

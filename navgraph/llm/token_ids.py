@@ -72,7 +72,9 @@ class Encoder:
 
     def part(self, part: str) -> bytes:
         """A text without blanks but for one in front."""
-        if (known := self.old.get(part)) is None:
+        if not part:
+            return b""
+        if (known := self.memo.get(part)) is None and (known := self.old.get(part)) is None:
             shown = part if self.keep_blank else part.lower()
             if WORD.fullmatch(part):
                 known = self.word(shown)
@@ -88,10 +90,10 @@ class Encoder:
             self.old, self.memo = self.memo, {}
         if not text:
             return b""
-        if WIDE_BLANKS.search(text):
-            parts = BEFORE_BLANK.split(text)
-        elif not self.keep_blank:
+        if not self.keep_blank:
             parts = text.split(" ")
+        elif WIDE_BLANKS.search(text):
+            parts = BEFORE_BLANK.split(text)
         else:
             first, *rest = text.split(" ")
             parts = [first, *[" " + x for x in rest]]

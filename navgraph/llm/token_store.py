@@ -203,8 +203,8 @@ def write_store(docs: DataFrame, root: str, tokenizer_path: str, end_id: int = 1
     told.coalesce(1).write.parquet(f"{root}/manifest")
 
 
-def _parts(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/parts")
+def _chunks(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("hash binary, payload binary, kind string").parquet(f"{root}/parts").where("kind = 'c'").select("hash", "payload")
 
 
 def _recipes(spark: SparkSession, root: str) -> DataFrame:
@@ -232,7 +232,7 @@ def read_digests(spark: SparkSession, root: str) -> DataFrame:
             sizes = [len(p) // width for p in payloads]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crcs, pa.int64()), pa.array(sizes, pa.int32())], ["hash", "crc", "n"])
 
-    chunks = _parts(spark, root).where("kind = 'c'").select("hash", "payload").mapInArrow(weigh, "hash binary, crc long, n int")
+    chunks = _chunks(spark, root).mapInArrow(weigh, "hash binary, crc long, n int")
     recipes = _recipes(spark, root)
     used = recipes.select("doc_id", "start", "n_tokens", "root", F.size("chunks").alias("size"), F.posexplode("chunks").alias("pos", "hash"))
     met = used.join(chunks, "hash", "left").groupBy("doc_id", "start", "n_tokens", "root", "size").agg(F.collect_list(F.struct("pos", "crc", "n", "hash")).alias("list"))
@@ -261,7 +261,7 @@ def _any(spark: SparkSession, root: str) -> bool:
 def read_ids(spark: SparkSession, root: str) -> DataFrame:
     """``doc_id, start, ids`` (array of int) of every document, put together again from recipes and chunks."""
     width = int(spark.read.parquet(f"{root}/manifest").select("width").first()["width"]) if _any(spark, root) else 2
-    chunks = _parts(spark, root).where("kind = 'c'").select("hash", "payload")
+    chunks = _chunks(spark, root)
     used = _recipes(spark, root).select("doc_id", "start", "n_tokens", F.posexplode("chunks").alias("pos", "hash"))
     met = used.join(chunks, "hash").groupBy("doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("pos", "payload"))).alias("list"))
 

@@ -116,7 +116,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
     kinds = [
         (1, F.substring(hex_("k"), 1, 40), F.concat(prose, name, join)),
         (1, F.upper(F.substring(hex_("k2"), 1, 40)), F.concat(prose, name, join)),
-        (1, alnum("a", 32), F.concat(prose, name, join)),
+        (1, F.left(alnum("a", 40), (F.pmod(F.xxhash64("id"), F.lit(21)) + 20).cast("int")), F.concat(prose, name, join)),
         (1, F.concat(F.lit("AKIA"), F.upper(F.substring(alnum("b", 40), 1, 16))), F.concat(prose, pick("x", "key ", "aws ", "access_key = ", ""))),
         (1, F.concat(pick("p", "ghp_", "gho_", "glpat-", "xoxb-", "sk_live_", "sk-"), alnum("c", 36)), F.concat(prose, pick("y", "", "use ", "token="))),
         (1, F.substring(hex_("k3"), 1, 64), F.concat(name, join)),

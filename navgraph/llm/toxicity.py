@@ -67,15 +67,17 @@ class LabelModel:
 def fit_label_model(fires: np.ndarray, labels: np.ndarray, rounds: int = 25) -> tuple[LabelModel, np.ndarray]:
     """``fires`` (rows x voters, 0/1) and annotators' labels; the model and each row's posterior of being toxic."""
     n, m = fires.shape
-    q = np.clip(labels.astype(float), 0.05, 0.95)
+    q = np.clip(labels.astype(float), 0.1, 0.9)
+    by_votes = q
     discount = np.ones(m)
     for turn in range(rounds):
         prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
         one = (fires.T @ q + 0.05) / (q.sum() + 1)
         zero = (fires.T @ (1 - q) + 0.05) / ((1 - q).sum() + 1)
-        hit = np.clip((q * labels).sum() / max(q.sum(), 1e-9), 0.6, 0.99)  # annotator says toxic of a toxic row
-        wrong = np.clip(((1 - q) * labels).sum() / max((1 - q).sum(), 1e-9), 0.001, 0.2)
-        if turn == 2:  # correlations of what the class does not explain
+        # The annotators are judged by what the voters alone say, else they would only be judged by themselves.
+        hit = np.clip((by_votes * labels).sum() / max(by_votes.sum(), 1e-9), 0.9, 0.99)
+        wrong = np.clip(((1 - by_votes) * labels).sum() / max((1 - by_votes).sum(), 1e-9), 0.005, 0.02)
+        if turn in (4, 9, 14):  # correlations that the class does not explain
             rest = fires - (np.outer(q, one) + np.outer(1 - q, zero))
             spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
             tie = np.abs((rest.T @ rest) / n / np.outer(spread, spread))
@@ -84,9 +86,10 @@ def fit_label_model(fires: np.ndarray, labels: np.ndarray, rounds: int = 25) ->
             discount = 1 / (1 + tie.sum(axis=0))
         weight_on, weight_off = np.log(one / zero) * discount, np.log((1 - one) / (1 - zero)) * discount
         logit = np.log(prior / (1 - prior)) + fires @ weight_on + (1 - fires) @ weight_off
+        by_votes = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         logit += np.where(labels > 0, np.log(hit / wrong), np.log((1 - hit) / (1 - wrong)))
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - q).max() < 1e-4:
+        if turn > 14 and np.abs(new - q).max() < 1e-4:
             q = new
             break
         q = new

@@ -115,8 +115,12 @@ def scan_files(files: DataFrame, config: AnalysisConfig) -> DataFrame:
 class FactStore:
     """Facts under ``path``; tables are DataFrames: ``store.table("defs")`` and ``store.files()``."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, before: bool = False):
+        self.spark, self.path, self.before = spark, path.rstrip("/"), before
+
+    def previous(self) -> FactStore | None:
+        """The facts as they were before the last refresh (until ``compact``); None if there was none."""
+        return FactStore(self.spark, self.path, True) if (self.meta() or {}).get("previous") else None
 
     # -- versions -------------------------------------------------------------------------------------------------
     def _hadoop(self, path: str):
@@ -138,7 +142,7 @@ class FactStore:
         if meta is None:
             raise FileNotFoundError(f"no facts in {self.path}")
         shape = f"{FILE_COLUMNS}, {fact_ddl()}, bucket int, version int"
-        current = F.create_map(*(F.lit(int(x)) for pair in meta["versions"].items() for x in pair))
+        current = F.create_map(*(F.lit(int(x)) for pair in meta["previous" if self.before else "versions"].items() for x in pair))
         return self.spark.read.schema(shape).parquet(f"{self.path}/facts").where(F.col("version") == current[F.col("bucket")])
 
     # -- writing --------------------------------------------------------------------------------------------------
@@ -188,7 +192,7 @@ class FactStore:
         kept = self._buckets().where(F.col("bucket").isin(buckets)).join(F.broadcast(paths.select("file")), "file", "left_anti")
         both = kept.drop("bucket", "version", "module").unionByName(scan_files(fresh, config))
         self._write(both, version)
-        self._publish(meta | {"version": version, "versions": meta["versions"] | {str(b): version for b in buckets}})
+        self._publish(meta | {"version": version, "versions": meta["versions"] | {str(b): version for b in buckets}, "previous": meta["versions"]})
         return self._finish(config, {"mode": mode, "version": version, "changed": len(changes), "stale": False})
 
     def _finish(self, config: AnalysisConfig, stats: dict) -> dict:
@@ -200,7 +204,8 @@ class FactStore:
 
     def compact(self) -> None:
         """Delete versions of buckets that no reader of the current version uses."""
-        meta = self.meta()
+        meta = {k: v for k, v in self.meta().items() if k != "previous"}
+        self._publish(meta)
         for row in self.spark.read.parquet(f"{self.path}/facts").select("bucket", "version").distinct().collect():
             if meta["versions"][str(row["bucket"])] != row["version"]:
                 system, where = self._hadoop(f"{self.path}/facts/bucket={row['bucket']}/version={row['version']}")

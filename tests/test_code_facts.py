@@ -14,13 +14,13 @@ from navgraph.sources.extract import dotted, literal_prefix, scan
 from navgraph.sources.store import FactStore, StaleConfig
 
 FILES = {
-    "client/gameplay/demo_good.py": "from client.gameplay import helper\n\n\nclass Demo(object):\n    def ping(self):\n        helper.echo()\n\n    def pong(self):\n        self.ping()\n",
-    "client/gameplay/demo_bad.py": "def broken(:\n    echo()\n",
-    "client/gameplay/helper.py": "def echo():\n    pass\n",
-    "client/gameplay/base.py": "class Base(object):\n    def act(self):\n        pass\n\n    def shared(self):\n        self.act()\n",
-    "client/gameplay/child.py": "from client.gameplay.base import Base\nfrom client.gameplay.helper import echo as e\n\n\ndef make():\n    return Child()\n\n\nclass Child(Base):\n    def run(self):\n        self.act()\n        self.act\n\n\ndef go():\n    x = make()\n    x.act()\n    y = Child()\n    y.run()\n    y.nothing()\n    unknown.act()\n",
+    "client/play/board_ok.py": "from client.play import helper\n\n\nclass Board(object):\n    def ping(self):\n        helper.echo()\n\n    def pong(self):\n        self.ping()\n",
+    "client/play/board_broken.py": "def broken(:\n    echo()\n",
+    "client/play/helper.py": "def echo():\n    pass\n",
+    "client/play/base.py": "class Base(object):\n    def act(self):\n        pass\n\n    def shared(self):\n        self.act()\n",
+    "client/play/child.py": "from client.play.base import Base\nfrom client.play.helper import echo as e\n\n\ndef make():\n    return Child()\n\n\nclass Child(Base):\n    def run(self):\n        self.act()\n        self.act\n\n\ndef go():\n    x = make()\n    x.act()\n    y = Child()\n    y.run()\n    y.nothing()\n    unknown.act()\n",
     "client/__init__.py": "",
-    "client/gameplay/__init__.py": "",
+    "client/play/__init__.py": "",
     "server/a.py": "def unique_fn():\n    pass\n\n\ndef twice():\n    unique_fn()\n",
     "server/b.py": "import os\n\n\ndef twice():\n    pass\n\n\ndef other():\n    twice()\n    os.getcwd()\n    unique_fn()\n",
 }
@@ -52,18 +52,18 @@ def told(df, *cols):
 def test_coverage(nav):
     assert told(nav.store.coverage(), "files", "failed", "coverage") == [(len(FILES), 1, "partial")]
     assert told(nav.store.coverage("server"), "coverage") == [("complete",)]
-    assert nav.store.coverage("client").first()["issues"] == ["client/gameplay/demo_bad.py"]
+    assert nav.store.coverage("client").first()["issues"] == ["client/play/board_broken.py"]
 
 
 def test_callers(nav):
-    got = told(nav.callers("client/gameplay/helper.py", "echo"), "level", "file", "line", "note")
-    assert ("VERIFIED", "client/gameplay/demo_good.py", 6, None) in got
-    assert ("CANDIDATE", "client/gameplay/demo_bad.py", 2, "parse failure") in got
-    assert told(nav.callers("client/gameplay/demo_good.py", "ping"), "level", "line", "caller") == [("VERIFIED", 9, "Demo.pong")]
+    got = told(nav.callers("client/play/helper.py", "echo"), "level", "file", "line", "note")
+    assert ("VERIFIED", "client/play/board_ok.py", 6, None) in got
+    assert ("CANDIDATE", "client/play/board_broken.py", 2, "parse failure") in got
+    assert told(nav.callers("client/play/board_ok.py", "ping"), "level", "line", "caller") == [("VERIFIED", 9, "Board.pong")]
 
 
 def test_callers_through_types_and_bases(nav):
-    got = {(r.line, r.level, r.note) for r in nav.callers("client/gameplay/base.py", "act").where("file LIKE '%child.py'").collect()}
+    got = {(r.line, r.level, r.note) for r in nav.callers("client/play/base.py", "act").where("file LIKE '%child.py'").collect()}
     assert (11, "VERIFIED", None) in got  # self, found on the base
     assert (17, "VERIFIED", None) in got  # x = make() returns Child
     assert (21, "CANDIDATE", "unreachable") in got
@@ -71,7 +71,7 @@ def test_callers_through_types_and_bases(nav):
 
 
 def test_callees(nav):
-    got = told(nav.callees("client/gameplay/child.py", "go"), "symbol", "level")
+    got = told(nav.callees("client/play/child.py", "go"), "symbol", "level")
     assert ("Base.act", "VERIFIED") in got and ("Child.run", "VERIFIED") in got and ("make", "VERIFIED") in got and ("nothing", "CANDIDATE") in got
 
 
@@ -81,26 +81,26 @@ def test_bare_names(nav):
 
 
 def test_target_notes(nav):
-    assert "parse failure" in nav.target_note("client/gameplay/demo_bad.py", "broken")
+    assert "parse failure" in nav.target_note("client/play/board_broken.py", "broken")
     assert nav.target_note("no/file.py", "x") == "the file is not in the index"
     assert nav.target_note("server/a.py", "absent") == "no such function"
 
 
 def test_structure(nav):
-    assert told(nav.importers("client/gameplay/helper.py"), "file") == [("client/gameplay/child.py",), ("client/gameplay/demo_good.py",)]
-    assert ("client/gameplay/child.py", "client/gameplay/base.py") in told(nav.deps("client"), "src", "dst")
+    assert told(nav.importers("client/play/helper.py"), "file") == [("client/play/child.py",), ("client/play/board_ok.py",)]
+    assert ("client/play/child.py", "client/play/base.py") in told(nav.deps("client"), "src", "dst")
     assert told(nav.external(), "module", "n") == [("os", 1)]
-    assert nav.hubs(1).first()["file"] == "client/gameplay/helper.py"
+    assert nav.hubs(1).first()["file"] == "client/play/helper.py"
     assert ("server", 2) in told(nav.tree(), "folder", "n")
-    assert nav.hub_degree() == 10 and not nav.is_hub("client/gameplay/helper.py")
+    assert nav.hub_degree() == 10 and not nav.is_hub("client/play/helper.py")
 
 
 def test_find(nav):
-    assert nav.find("demo_goo").count() == 1 and nav.find("demo_g00d").count() == 0 and nav.find("%").count() == 0
+    assert nav.find("board_o").count() == 1 and nav.find("b0ard_ok").count() == 0 and nav.find("%").count() == 0
 
 
 def test_context(nav):
-    assert {r.name for r in nav.file_context("client/gameplay/demo_good.py").where("section = 'import'").collect()} == {"client/gameplay/helper.py"}
+    assert {r.name for r in nav.file_context("client/play/board_ok.py").where("section = 'import'").collect()} == {"client/play/helper.py"}
     assert nav.file_context("no/such.py").count() == 0
     compact = nav.context(compact=True)
     assert compact.where("section = 'hub'").count() <= 10 and compact.where("section = 'coverage' AND name = 'partial' AND n = 1").count() == 1
@@ -120,9 +120,9 @@ def test_refresh(spark, tmp_path):
     store.build(config)
     assert store.drift(config).count() == 0
     time.sleep(0.05)
-    with open(f"{root}/client/gameplay/demo_good.py", "a") as f:
+    with open(f"{root}/client/play/board_ok.py", "a") as f:
         f.write("\n\ndef appended():\n    pass\n")
-    assert told(store.drift(config), "file", "change") == [("client/gameplay/demo_good.py", "changed")]
+    assert told(store.drift(config), "file", "change") == [("client/play/board_ok.py", "changed")]
     assert store.refresh(config, "check") == {"mode": "check", "version": 1, "changed": 1, "stale": True}
     assert store.refresh(config, "off")["stale"] is None
     assert store.refresh(config)["changed"] == 1
@@ -136,7 +136,7 @@ def test_refresh(spark, tmp_path):
     write(root, {"client/later.py": "x = 1\n", "server/later.py": "x = 1\n"})
     assert told(store.drift(part), "file") == [("server/later.py",)]
     store.refresh(part)
-    assert store.files().where("file = 'client/gameplay/helper.py'").count() == 1
+    assert store.files().where("file = 'client/play/helper.py'").count() == 1
     store.compact()
     assert store.files().where("file = 'server/later.py'").count() == 1
     with pytest.raises(StaleConfig):
@@ -155,8 +155,8 @@ class Framework(FactHooks):
         return [("in", node.name, place.cls or "", "verified", "decorator") for d in node.decorator_list if isinstance(d, ast.Call) and dotted(d.func) == "endpoint"]
 
     def receiver_types(self, call, place):
-        if place.func and place.func.startswith("_Activate") and isinstance(call.func, ast.Attribute):
-            return [(dotted(call.func.value) or "", place.func.removeprefix("_Activate"), "inferred", "function name")]
+        if place.func and place.func.startswith("_Ignite") and isinstance(call.func, ast.Attribute):
+            return [(dotted(call.func.value) or "", place.func.removeprefix("_Ignite"), "inferred", "function name")]
         return []
 
     def pubsub_calls(self, call, place):
@@ -170,21 +170,21 @@ class Framework(FactHooks):
 def test_framework_facts(spark, tmp_path):
     root = str(tmp_path / "r")
     write(root, {
-        "client/target.py": "class Festival(object):\n    def Activate(self):\n        self.remote('ActivateFestival')\n",
-        "client/crate.py": "class Crate(object):\n    def Activate(self):\n        pass\n\n    def Other(self):\n        pass\n",
-        "client/ui.py": "class UI(object):\n    def _ActivateFestival(self, target):\n        target.Activate()\n\n    def _ActivateCrate(self, target):\n        target.Activate()\n\n    def hear(self):\n        listen('ui.open')\n        publish('ui.open')\n",
-        "server/target.py": "class Endpoint(object):\n    @endpoint(IN)\n    def ActivateFestival(self):\n        pass\n\n\nclass Collision(object):\n    def ActivateFestival(self):\n        pass\n",
-        "client/data/generated.py": "class Generated(object):\n    value = RareToken\n",
+        "client/target.py": "class Lantern(object):\n    def Ignite(self):\n        self.remote('IgniteLantern')\n",
+        "client/chest.py": "class Chest(object):\n    def Ignite(self):\n        pass\n\n    def Other(self):\n        pass\n",
+        "client/ui.py": "class UI(object):\n    def _IgniteLantern(self, target):\n        target.Ignite()\n\n    def _IgniteChest(self, target):\n        target.Ignite()\n\n    def hear(self):\n        listen('ui.open')\n        publish('ui.open')\n",
+        "server/target.py": "class Endpoint(object):\n    @endpoint(IN)\n    def IgniteLantern(self):\n        pass\n\n\nclass Collision(object):\n    def IgniteLantern(self):\n        pass\n",
+        "client/data/generated.py": "class Generated(object):\n    value = OddMarker\n",
     })
     config = AnalysisConfig(root, hooks=Framework(), rpc_aliases={"in": ["out"]}, profiles=[("client/data/*", "semantic-only")])
     store = FactStore(spark, str(tmp_path / "s"))
     store.build(config)
     nav = Navigator(store, config)
-    assert told(nav.callers("client/target.py", "Activate", "Festival"), "level", "line") == [("FRAMEWORK-INFERRED", 3)]
-    got = told(nav.rpc_refs("ActivateFestival"), "level", "symbol")
-    assert got == [("HANDLER-VERIFIED", "Endpoint.ActivateFestival"), ("NAME-ONLY", "Collision.ActivateFestival"), ("RPC-INFERRED", "ActivateFestival")]
+    assert told(nav.callers("client/target.py", "Ignite", "Lantern"), "level", "line") == [("FRAMEWORK-INFERRED", 3)]
+    got = told(nav.rpc_refs("IgniteLantern"), "level", "symbol")
+    assert got == [("HANDLER-VERIFIED", "Endpoint.IgniteLantern"), ("NAME-ONLY", "Collision.IgniteLantern"), ("RPC-INFERRED", "IgniteLantern")]
     assert told(nav.pubsub_refs("open"), "level", "symbol") == [("EVENT-INFERRED", "UI.hear"), ("LISTENER", "UI.hear")]
-    assert nav.usages("RareToken").count() == 0
+    assert nav.usages("OddMarker").count() == 0
     assert store.table("classes").where("name = 'Generated'").count() == 1
     assert nav.diagnose().count() == 0
 

@@ -13,11 +13,11 @@ from navgraph.navigation import Navigator
 from navgraph.operators import graph, tables
 from navgraph.sources.store import FactStore
 
-CRATE = "class Crate(object):\n    def Activate(self):\n        step()\n\n    def Other(self):\n        pass\n"
+CRATE = "class Chest(object):\n    def Ignite(self):\n        step()\n\n    def Other(self):\n        pass\n"
 FILES = {
-    "m/crate.py": CRATE,
+    "m/chest.py": CRATE,
     "m/steps.py": "def step():\n    pass\n\n\ndef gone():\n    pass\n",
-    "m/use.py": "from m.crate import Crate\nfrom m.steps import gone\n\nLIMIT = 3\n\n\ndef outer():\n    c = Crate()\n    c.Activate()\n\n\ndef top():\n    outer()\n    gone()\n",
+    "m/use.py": "from m.chest import Chest\nfrom m.steps import gone\n\nLIMIT = 3\n\n\ndef outer():\n    c = Chest()\n    c.Ignite()\n\n\ndef top():\n    outer()\n    gone()\n",
 }
 
 
@@ -41,10 +41,10 @@ def test_hunks(spark):
 
 
 def test_changed_functions(spark, impact):
-    body = change(spark, ("m/crate.py", "@@ -3,1 +3,1 @@", CRATE))
-    assert told(impact.changed_functions(body), "name", "state") == [("Activate", "changed")]
-    header = change(spark, ("m/crate.py", "@@ -1,1 +1,1 @@", CRATE))
-    assert told(impact.changed_functions(header), "name") == [("Activate",), ("Other",)]
+    body = change(spark, ("m/chest.py", "@@ -3,1 +3,1 @@", CRATE))
+    assert told(impact.changed_functions(body), "name", "state") == [("Ignite", "changed")]
+    header = change(spark, ("m/chest.py", "@@ -1,1 +1,1 @@", CRATE))
+    assert told(impact.changed_functions(header), "name") == [("Ignite",), ("Other",)]
     whole = change(spark, ("m/steps.py", None, None))
     assert told(impact.changed_functions(whole), "name") == [("gone",), ("step",)]
     deleted = change(spark, ("m/steps.py", "@@ -5,2 +4,0 @@", "def step():\n    pass\n\n\ndef removed():\n    pass\n"))
@@ -55,7 +55,7 @@ def test_changed_functions(spark, impact):
 def test_closure_layers(spark, impact):
     items, cut = impact.closure(change(spark, ("m/steps.py", "@@ -1,2 +1,2 @@", None)), depth=0)
     assert not cut
-    assert told(items, "layer", "target", "caller", "via") == [(1, "step", "Crate.Activate", "call"), (2, "Crate.Activate", "outer", "call"), (3, "outer", "top", "call")]
+    assert told(items, "layer", "target", "caller", "via") == [(1, "step", "Chest.Ignite", "call"), (2, "Chest.Ignite", "outer", "call"), (3, "outer", "top", "call")]
     shallow, _ = impact.closure(change(spark, ("m/steps.py", "@@ -1,2 +1,2 @@", None)), depth=1)
     assert shallow.count() == 1
     few, cut = impact.closure(change(spark, ("m/steps.py", "@@ -1,2 +1,2 @@", None)), depth=0, max_edges=2)
@@ -63,7 +63,7 @@ def test_closure_layers(spark, impact):
     assert told(Impact.summary(items), "layer", "n") == [(1, 1), (2, 1), (3, 1)]
     first = Impact.page(items, limit=2).collect()
     assert len(first) == 2 and first[0]["total"] == 3 and first[0]["has_more"] and first[0]["next_offset"] == 2
-    assert told(impact.importers(change(spark, ("m/crate.py", None, None))), "file") == [("m/use.py",)]
+    assert told(impact.importers(change(spark, ("m/chest.py", None, None))), "file") == [("m/use.py",)]
 
 
 def test_deleted_function_keeps_its_callers(spark, tmp_path):

@@ -165,16 +165,17 @@ def fit_rows_model(voters: list[str], present: list[list[str]], labels: np.ndarr
     return ToxicModel({voters[k]: float(x) for k, x in zip(mined, w, strict=True)}, bias)
 
 
-def fit(labelled: DataFrame, fit_rows: int = 20_000, text_col: str = "text", label_col: str = "toxic", order_col: str = "doc_id") -> ToxicModel:
-    """Fit on at most about ``fit_rows`` rows, chosen by a hash of ``order_col``; rows without a label are left out.
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
+    """Fit on about ``fit_rows`` labels at most, chosen by a hash of ``id_col``; null labels are left out.
 
-    With no toxic or no clean row the model is the constant share of toxic rows (0.5 with no row).
+    The chosen labels are bounded by ``fit_rows``, so they are broadcast and no text is shuffled. With no toxic or no
+    clean row the model is the constant share of toxic rows (0.5 with no row).
     """
-    rows = labelled.where(F.col(label_col).isNotNull())
-    n = rows.count()
-    share = min(1.0, fit_rows / max(n, 1))
-    chosen = rows.where(F.pmod(F.xxhash64(F.col(order_col), F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
-    source = chosen.select(text_bytes(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
+    given = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
+    share = min(1.0, fit_rows / max(given.count(), 1))
+    chosen = given.where(F.pmod(F.xxhash64("__id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))
+    source = chosen.select(text_bytes(text_col).alias("text"), "label")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 64):

@@ -32,12 +32,12 @@ def test_toxicity_held_out(spark):
 
 def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     labelled = spark.createDataFrame([(k, f"plain words here {k}", 0) for k in range(40)] + [(50 + k, f"you idiot there {k}", 1) for k in range(10)] + [(99, None, None), (100, "", 1)], "doc_id long, text string, toxic int")
-    model = toxicity.fit(labelled)
+    model = toxicity.fit(labelled.drop("toxic"), labelled.drop("text"))
     scored = toxicity.score(labelled, model, ["doc_id"]).collect()
     assert {r.doc_id for r in scored if r.predicted} == set(range(50, 60))
     assert toxicity.score(odd_docs, model, ["doc_id", "key"]).count() == odd_docs.count()
     assert toxicity.score(no_docs, model, ["doc_id"]).count() == 0
-    constant = toxicity.fit(labelled.limit(0))
+    constant = toxicity.fit(odd_docs, labelled.limit(0))
     assert [r.score for r in toxicity.score(odd_docs, constant, ["doc_id"]).collect()] == [0.5] * odd_docs.count()
 
 

@@ -2,8 +2,10 @@
 
 Texts and test items are compared as lower-case words with one blank between. An item of n characters may stand in a
 document with up to ``budget`` * n edits. It is split into that many pieces plus one: whatever the edits hit, one piece
-is whole. An Aho-Corasick automaton finds all whole pieces in one pass over a text, and Myers' bit-parallel search
-checks the surrounding stretch for the whole item. Test items are a stated query set: they come to the tasks in blocks
+is whole. An Aho-Corasick automaton finds all whole pieces in one pass over a text. A hit is verified from the piece
+outwards, by doubling: of two halves of m and n pieces with fewer edits than m + n in all, one has fewer than m or the
+other fewer than n, so the hit's half, then the half around it, must each hold with fewer edits than it has pieces, up
+to the whole item. Myers' bit-parallel search does each check; most chance hits end at two pieces. Test items are a stated query set: they come to the tasks in blocks
 of bounded size, one pass over the documents for each block, and documents never move.
 """
 
@@ -32,6 +34,22 @@ def edits(length: int, budget: float) -> int:
     return int(length * budget)
 
 
+def ancestry(parts: int) -> list[list[tuple[int, int]]]:
+    """For each piece the stretches of pieces that halving the item leaves around it, from two pieces or more to all."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(parts)]
+
+    def halve(a: int, b: int) -> None:
+        if b - a > 1:
+            middle = (a + b) // 2
+            halve(a, middle)
+            halve(middle, b)
+            for p in range(a, b):
+                out[p].append((a, b))
+
+    halve(0, parts)
+    return out
+
+
 def pieces(item: str, parts: int) -> list[tuple[int, str]]:
     """(offset, piece): ``parts`` stretches of nearly equal length."""
     borders = [len(item) * k // parts for k in range(parts + 1)]
@@ -72,11 +90,16 @@ class Matcher:
 
     def __init__(self, items: list[tuple[object, str]], budget: float):
         self.items = [(no, text, edits(len(text), budget)) for no, text in items]
-        self.patterns: dict[int, Pattern] = {}
+        self.patterns: dict[tuple[int, int, int], Pattern] = {}
+        self.borders: list[list[int]] = []
+        self.around: dict[int, list[list[tuple[int, int]]]] = {}
         where: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text, most) in enumerate(self.items):
-            for offset, piece in pieces(text, most + 1):
-                where.setdefault(piece, []).append((k, offset))
+            cut = pieces(text, most + 1)
+            self.borders.append([*(offset for offset, _ in cut), len(text)])
+            self.around.setdefault(most + 1, ancestry(most + 1))
+            for p, (_, piece) in enumerate(cut):
+                where.setdefault(piece, []).append((k, p))
         self.automaton = ahocorasick.Automaton()
         for piece, owners in where.items():
             self.automaton.add_word(piece, (len(piece), owners))
@@ -84,6 +107,22 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not where
 
+    def pattern(self, k: int, a: int, b: int) -> Pattern:
+        """Pieces ``a`` to ``b`` of an item."""
+        key = (k, a, b)
+        if key not in self.patterns:
+            self.patterns[key] = Pattern(self.items[k][1][self.borders[k][a] : self.borders[k][b]])
+        return self.patterns[key]
+
+    def holds(self, k: int, p: int, start: int, text: str) -> bool:
+        """Whether every stretch of pieces around piece ``p``, but for the whole item, holds where the hit would have it."""
+        borders = self.borders[k]
+        for a, b in self.around[len(borders) - 1][p][:-1]:
+            first, most = start + borders[a], b - a - 1
+            if self.pattern(k, a, b).nearest(text[max(0, first - most) : max(0, first + borders[b] - borders[a] + most)])[0] > most:
+                return False
+        return True
+
     def found(self, text: str) -> dict[int, tuple[int, int]]:
         """item number -> (edits, end in the text) of its nearest stretch within the item's budget."""
         out: dict[int, tuple[int, int]] = {}
@@ -91,19 +130,18 @@ class Matcher:
             return out
         seen: dict[int, list[tuple[int, int]]] = {}
         for end, (size, owners) in self.automaton.iter(text):
-            for k, offset in owners:
+            for k, p in owners:
                 if out.get(k, (1,))[0] == 0:
                     continue
                 _, item, most = self.items[k]
-                start = end - size + 1 - offset
+                start = end - size + 1 - self.borders[k][p]
                 low, high = max(0, start - most), min(len(text), start + len(item) + most)
                 # Stretches on nearly the same diagonal share a search: it covers twice the budget to both sides.
-                if any(a <= low and high <= b for a, b in seen.get(k, ())):
+                if any(a <= low and high <= b for a, b in seen.get(k, ())) or not self.holds(k, p, start, text):
                     continue
                 low, high = max(0, low - most), min(len(text), high + most)
                 seen.setdefault(k, []).append((low, high))
-                pattern = self.patterns.get(k) or self.patterns.setdefault(k, Pattern(item))
-                distance, stop = pattern.nearest(text[low:high])
+                distance, stop = self.pattern(k, 0, most + 1).nearest(text[low:high])
                 if distance <= most and distance < out.get(k, (most + 1,))[0]:
                     out[k] = (distance, low + stop)
         return out
@@ -136,7 +174,7 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, least_chars: int)
         yield block
 
 
-def leaks(docs: DataFrame, items: DataFrame, budget: float = 0.08, least_chars: int = 24, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, budget: float = 0.10, least_chars: int = 24, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document and item that it holds: ``doc_id, item_id, edits, item_chars, end_char``.
 
     ``edits`` is the smallest distance over the document, ``end_char`` where that stretch ends in the text of joined
@@ -173,7 +211,7 @@ def leaks(docs: DataFrame, items: DataFrame, budget: float = 0.08, least_chars:
     return whole
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, budget: float = 0.08, least_chars: int = 24, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, budget: float = 0.10, least_chars: int = 24, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold an item; columns unchanged."""
     for block in item_blocks(items, item_col, item_text_col, least_chars):
 

@@ -33,7 +33,7 @@ def brute(rows, items):
     def leaks(text):
         body = decontaminate.normal(text)
         # a cheap necessary condition first: one of the pieces stands in the text
-        return any(any(p in body for _, p in decontaminate.pieces(x, int(len(x) * 0.08) + 1)) and distance(x, body) <= int(len(x) * 0.08) for x in norm)
+        return any(any(p in body for _, p in decontaminate.pieces(x, int(len(x) * 0.10) + 1)) and distance(x, body) <= int(len(x) * 0.10) for x in norm)
 
     return [(d, t) for d, t in rows if not leaks(t)]
 

@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item."""
-    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"), budget=0.08)
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"), budget=0.10)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,12 +92,14 @@ def measure(raw: bytes, limits: RepetitionLimits) -> tuple:
     values = word_values(words)
     lengths = None
     n_repeat_words, covered = 0, {}
+    repeated = True  # a window repeats only if the shorter windows in it do: after a length without repeats there are none
     for n in sorted({limits.base_window, *limits.ngrams}):
-        inside = in_repeated_windows(values, n)
+        inside = in_repeated_windows(values, n) if repeated else np.zeros(n_words, bool)
+        repeated = bool(inside.any())
         if n == limits.base_window:
             n_repeat_words = int(inside.sum())
         if n in limits.ngrams:
-            if inside.any():
+            if repeated:
                 if lengths is None:
                     lengths = np.fromiter((chars(w) if not w.isascii() else len(w) for w in words), np.int64, n_words)
                 covered[n] = int(lengths[inside].sum())

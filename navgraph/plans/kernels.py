@@ -64,8 +64,13 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K6: distinct edges out of a scope."""
-    return _edges(spark, sf_dir).where(F.col("src") < 5).distinct()
+    """K6: distinct edges out of a scope, the sources below 5 as in its SQL; ``deps_all`` has every edge."""
+    return deps_all(spark, sf_dir).where(F.col("src") < 5)
+
+
+def deps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: all distinct edges."""
+    return _edges(spark, sf_dir).distinct()
 
 
 def importers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +244,7 @@ def page_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        token_index, usages_token, downsample_first, line_definitions, callers_graded, callees_graded, deps, importers, hubs,
+        token_index, usages_token, downsample_first, line_definitions, callers_graded, callees_graded, deps, deps_all, importers, hubs,
         percentile_hub_flag, external_rank, tree_rollup, find_path, class_rank_pick, runtime_hosts, subclass_closure,
         impact_layers, pubsub_pairs, rpc_pairs, asof_assignment, hunk_overlap, drift_set, coverage_contract,
         tree_descend_grade, page_projection,
@@ -276,6 +281,7 @@ ORACLES: dict[str, str] = {
         SELECT l_suppkey, CASE p_type WHEN 'STANDARD' THEN 'VERIFIED' WHEN 'PROMO' THEN 'FRAMEWORK-INFERRED' ELSE 'CANDIDATE' END AS level, count(*) AS n
         FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN part ON p_partkey = l_partkey WHERE p_type <> 'ECONOMY' GROUP BY 1, 2""",
     "deps": "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey < 5",
+    "deps_all": "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem",
     "importers": "SELECT l_partkey AS dst, count(DISTINCT l_suppkey) AS n, count(DISTINCT l_suppkey) >= 10 AS hub FROM lineitem WHERE l_partkey < 50 GROUP BY 1",
     "hubs": "SELECT l_partkey AS dst, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, dst LIMIT 25",
     "percentile_hub_flag": """

@@ -10,3 +10,10 @@ from navgraph.plans import kernels
 def test_query_matches_sql(spark, name):
     sf_dir = "/root/testdata/sf0.01"
     assert_same(kernels.QUERIES[name](spark, sf_dir), kernels.ORACLES[name], sf_dir)
+
+
+def test_deps_of_every_source(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    assert kernels.QUERIES["deps_all"](spark, sf_dir).count() == 51_731
+    sources = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey").distinct().count()
+    assert kernels.QUERIES["deps_all"](spark, sf_dir).select("src").distinct().count() == sources

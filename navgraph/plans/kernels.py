@@ -74,9 +74,13 @@ def deps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def importers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K6: distinct sources of edges into a scope, with the hub flag of at least ten sources."""
-    into = _edges(spark, sf_dir).where(F.col("dst") < 50)
-    return graph.in_degree(into, "src", "dst").select("dst", "n", (F.col("n") >= 10).alias("hub"))
+    """K6: ``importers_all`` of a scope, the targets below 50 as in its SQL."""
+    return importers_all(spark, sf_dir).where(F.col("dst") < 50)
+
+
+def importers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: distinct sources of edges into every target, with the hub flag of at least ten sources."""
+    return graph.in_degree(_edges(spark, sf_dir), "src", "dst").select("dst", "n", (F.col("n") >= 10).alias("hub"))
 
 
 def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +248,7 @@ def page_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        token_index, usages_token, downsample_first, line_definitions, callers_graded, callees_graded, deps, deps_all, importers, hubs,
+        token_index, usages_token, downsample_first, line_definitions, callers_graded, callees_graded, deps, deps_all, importers, importers_all, hubs,
         percentile_hub_flag, external_rank, tree_rollup, find_path, class_rank_pick, runtime_hosts, subclass_closure,
         impact_layers, pubsub_pairs, rpc_pairs, asof_assignment, hunk_overlap, drift_set, coverage_contract,
         tree_descend_grade, page_projection,
@@ -283,6 +287,7 @@ ORACLES: dict[str, str] = {
     "deps": "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey < 5",
     "deps_all": "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem",
     "importers": "SELECT l_partkey AS dst, count(DISTINCT l_suppkey) AS n, count(DISTINCT l_suppkey) >= 10 AS hub FROM lineitem WHERE l_partkey < 50 GROUP BY 1",
+    "importers_all": "SELECT l_partkey AS dst, count(DISTINCT l_suppkey) AS n, count(DISTINCT l_suppkey) >= 10 AS hub FROM lineitem GROUP BY 1",
     "hubs": "SELECT l_partkey AS dst, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, dst LIMIT 25",
     "percentile_hub_flag": """
         WITH d AS (SELECT count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_partkey),

@@ -17,3 +17,10 @@ def test_deps_of_every_source(spark):
     assert kernels.QUERIES["deps_all"](spark, sf_dir).count() == 51_731
     sources = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey").distinct().count()
     assert kernels.QUERIES["deps_all"](spark, sf_dir).select("src").distinct().count() == sources
+
+
+def test_importers_of_every_target(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    got = kernels.QUERIES["importers_all"](spark, sf_dir).collect()
+    targets = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey").distinct().count()
+    assert len(got) == targets and max(r.dst for r in got if r.hub) >= 50

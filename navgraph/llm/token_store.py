@@ -4,7 +4,7 @@ A rolling hash over the ids cuts each document's id stream where the stream itse
 the same chunks wherever they stand. A chunk is stored once under its hash. A document is a recipe: its chunks' hashes
 in order, with its place in the whole stream in ascending ``doc_id`` order. A document's digest is the Merkle root of
 its chunk hashes, a shard's the root of its documents', and the manifest holds the shards' roots: reading checks
-payloads against hashes and recipes against roots.
+payloads against hashes, recipes against roots, and the shards' roots, counts and places against the manifest.
 
 Files (Parquet folders under one root, in the file system of ``spark.checkpoint.dir`` or any that Spark can write):
 ``chunks`` (hash, n_ids, payload: little-endian ids of ``width`` bytes), ``recipes`` (shard, doc_id, start, n_tokens,
@@ -207,6 +207,31 @@ def _chunks(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema("hash binary, payload binary, kind string").parquet(f"{root}/parts").where("kind = 'c'").select("hash", "payload")
 
 
+def _verify(spark: SparkSession, root: str) -> None:
+    """Hold the manifest against the recipes: each shard's root, documents, tokens and places, and the shards' own places."""
+    manifest = spark.read.parquet(f"{root}/manifest").select("shard", "n_docs", "n_tokens", "root", F.col("start").alias("at"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    told = manifest.withColumn("placed", F.col("at") == F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    leaves = F.array_sort(F.collect_list(F.struct("start", "n_tokens", "root"))).alias("leaves")
+    held = spark.read.parquet(f"{root}/recipes").groupBy("shard").agg(leaves)
+    both = told.join(held, "shard", "full_outer").select("shard", "n_docs", "n_tokens", "root", "placed", "leaves")
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bad = []
+            for shard, n_docs, n_tokens, root_, placed, leaves in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                leaves, at, whole = leaves or [], 0, bool(placed)
+                for x in leaves:
+                    whole = whole and x["start"] == at and x["n_tokens"] is not None
+                    at += x["n_tokens"] or 0
+                if not whole or len(leaves) != n_docs or at != n_tokens or merkle_root([x["root"] for x in leaves]) != root_:
+                    bad.append(shard)
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int32())], ["shard"])
+
+    if wrong := both.mapInArrow(differ, "shard int").take(1):
+        raise ValueError(f"the recipes of shard {wrong[0]['shard']} do not match the manifest")
+
+
 def _recipes(spark: SparkSession, root: str) -> DataFrame:
     """Recipes with ``start`` in the whole stream; ``no`` tells documents apart, repeated ids too."""
     shards = spark.read.parquet(f"{root}/manifest").select("shard", F.col("start").alias("shard_start"))
@@ -218,9 +243,10 @@ def read_digests(spark: SparkSession, root: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files.
 
     Every chunk's payload is read and held against its hash; its crc32 over 32-bit ids is combined along the recipes,
-    whose hashes are held against the documents' Merkle roots. Payloads do not move between machines. A chunk that is
-    missing or altered raises an error.
+    whose hashes are held against the documents' Merkle roots, and those against the manifest. Payloads do not move
+    between machines. A chunk or a recipe that is missing or altered raises an error.
     """
+    _verify(spark, root)
     width = int(spark.read.parquet(f"{root}/manifest").select("width").first()["width"]) if _any(spark, root) else 2
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +260,7 @@ def read_digests(spark: SparkSession, root: str) -> DataFrame:
 
     chunks = _chunks(spark, root).mapInArrow(weigh, "hash binary, crc long, n int")
     recipes = _recipes(spark, root)
-    used = recipes.select("doc_id", "start", "n_tokens", "root", F.size("chunks").alias("size"), F.posexplode("chunks").alias("pos", "hash"))
+    used = recipes.select("doc_id", "start", "n_tokens", "root", F.size("chunks").alias("size"), F.posexplode_outer("chunks").alias("pos", "hash"))
     met = used.join(chunks, "hash", "left").groupBy("doc_id", "start", "n_tokens", "root", "size").agg(F.collect_list(F.struct("pos", "crc", "n", "hash")).alias("list"))
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,17 +285,25 @@ def _any(spark: SparkSession, root: str) -> bool:
 
 
 def read_ids(spark: SparkSession, root: str) -> DataFrame:
-    """``doc_id, start, ids`` (array of int) of every document, put together again from recipes and chunks."""
+    """``doc_id, start, ids`` (array of int) of every document, put together again from recipes and chunks; with the
+    checks of ``read_digests``."""
+    _verify(spark, root)
     width = int(spark.read.parquet(f"{root}/manifest").select("width").first()["width"]) if _any(spark, root) else 2
     chunks = _chunks(spark, root)
-    used = _recipes(spark, root).select("doc_id", "start", "n_tokens", F.posexplode("chunks").alias("pos", "hash"))
-    met = used.join(chunks, "hash").groupBy("doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("pos", "payload"))).alias("list"))
+    used = _recipes(spark, root).select("doc_id", "start", "n_tokens", "root", F.size("chunks").alias("size"), F.posexplode_outer("chunks").alias("pos", "hash"))
+    met = used.join(chunks, "hash", "left").groupBy("doc_id", "start", "n_tokens", "root", "size").agg(F.array_sort(F.collect_list(F.struct("pos", "hash", "payload"))).alias("list"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.frombuffer(b"".join(x["payload"] for x in pieces), f"<u{width}").astype(np.int32) for pieces in b.column(3).to_pylist()]
-            if [len(x) for x in ids] != b.column(2).to_pylist():
-                raise ValueError("a document's chunks do not match its recipe")
+            ids = []
+            for n, root_, size, pieces in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                if len(pieces) != size or any(x["payload"] is None for x in pieces) or merkle_root([x["hash"] for x in pieces]) != root_:
+                    raise ValueError("a document's chunks do not match its recipe")
+                if any(digest(x["payload"]) != x["hash"] for x in pieces):
+                    raise ValueError("a chunk's payload does not match its hash")
+                ids.append(np.frombuffer(b"".join(x["payload"] for x in pieces), f"<u{width}").astype(np.int32))
+                if len(ids[-1]) != n:
+                    raise ValueError("a document's chunks do not match its recipe")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
     kind = _recipes(spark, root).schema["doc_id"].dataType.simpleString()

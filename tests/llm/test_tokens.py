@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from navgraph.llm import packing, token_store
@@ -124,6 +125,27 @@ def test_store_finds_damage(spark, odd_docs):
         token_store.read_digests(spark, hurt).collect()
 
 
+def test_store_finds_lost_and_changed_recipes(spark, odd_docs):
+    root = new_path(spark, "store-recipes")
+    token_store.write_store(odd_docs, root, tokenizer_file(FILES[1]))
+    tables = {name: spark.read.parquet(f"{root}/{name}") for name in ("recipes", "manifest", "parts")}
+    one, other = tables["recipes"].orderBy("shard", "start").collect()[:2]
+    here = (F.col("shard") == one["shard"]) & (F.col("start") == one["start"])
+    swap = lambda column, value: F.when(here, F.lit(value)).otherwise(F.col(column))
+    lost = tables["recipes"].where(~here)
+    forged = tables["recipes"].withColumns({"root": swap("root", token_store.digest(b"else")), "n_tokens": swap("n_tokens", other["n_tokens"])})
+    emptied = tables["recipes"].withColumn("chunks", F.when(here, F.array().cast("array<binary>")).otherwise(F.col("chunks")))
+    unlisted = tables["manifest"].where(F.col("shard") != one["shard"])
+    altered = tables["parts"].withColumn("payload", F.when(F.col("kind") == "c", F.concat("payload", F.lit(b"\0\0"))))
+    for k, change in enumerate(({"recipes": lost}, {"recipes": forged}, {"recipes": emptied}, {"manifest": unlisted}, {"parts": altered})):
+        hurt = new_path(spark, f"store-hurt-{k}")
+        for name, table in (tables | change).items():
+            (table.write.partitionBy("kind") if name == "parts" else table.write).parquet(f"{hurt}/{name}")
+        for read in (token_store.read_digests, token_store.read_ids):
+            with pytest.raises(Exception, match="not match"):
+                read(spark, hurt).collect()
+
+
 def test_store_of_nothing(spark, no_docs):
     root = new_path(spark, "store-empty")
     token_store.write_store(no_docs, root, tokenizer_file(FILES[1]))

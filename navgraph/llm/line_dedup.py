@@ -31,7 +31,7 @@ def line_key(line: bytes) -> bytes:
 
 
 def _line_rows(docs: DataFrame, min_chars: int, text_col: str, positions: bool, id_cols: list[str]) -> DataFrame:
-    """A row for each document and key: its hash, and with ``positions`` where its lines stand and the id columns."""
+    """A row for each row of ``docs`` and key: its hash, the id columns, and with ``positions`` where its lines stand."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -49,15 +49,16 @@ def _line_rows(docs: DataFrame, min_chars: int, text_col: str, positions: bool,
             halves = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
             columns, names = [pa.array(halves[:, 0]), pa.array(halves[:, 1])], list(HASH)
             if positions:
-                rows = pa.array(owner, pa.int64())
-                columns += [pa.array(where, pa.list_(pa.int32())), *(part.column(1 + j).take(rows) for j in range(len(id_cols)))]
-                names += ["lines", *id_cols]
+                columns.append(pa.array(where, pa.list_(pa.int32())))
+                names.append("lines")
+            rows = pa.array(owner, pa.int64())
+            columns += [part.column(1 + j).take(rows) for j in range(len(id_cols))]
+            names += id_cols
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    source = docs.select(text_bytes(text_col).alias("text"), *(id_cols if positions else []))
-    shape = "h1 long, h2 long"
-    if positions:
-        shape += ", lines array<int>" + "".join(f", {c} {source.schema[c].dataType.simpleString()}" for c in id_cols)
+    source = docs.select(text_bytes(text_col).alias("text"), *id_cols)
+    shape = "h1 long, h2 long" + (", lines array<int>" if positions else "")
+    shape += "".join(f", {c} {source.schema[c].dataType.simpleString()}" for c in id_cols)
     return source.mapInArrow(scan, shape)
 
 
@@ -86,9 +87,11 @@ class LineRuns:
         counts = self._counts()
         return None if counts is None else checkpointed(counts.where(F.col("n_docs") >= self.min_docs).select(*HASH))
 
-    def add(self, docs: DataFrame, text_col: str = "text") -> None:
-        """Count a batch of documents; each row is one document."""
-        counts = _line_rows(docs, self.min_chars, text_col, False, []).groupBy(*HASH).agg(F.count("*").alias("n_docs"))
+    def add(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> None:
+        """Count a batch of documents; all rows of one id are one document and must come in one batch."""
+        owned = docs.withColumn(f"{OWN}doc", F.col(id_col))
+        keys = _line_rows(owned, self.min_chars, text_col, False, [f"{OWN}doc"]).distinct()
+        counts = keys.groupBy(*HASH).agg(F.count("*").alias("n_docs"))
         known = self.frequent()
         self._write(counts if known is None else counts.join(known, HASH, "left_anti"), 0)
         level = 0
@@ -127,14 +130,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
 
     The table is counted in ``batches`` batches (by a hash of the id), then every document loses the lines that the
     runs know as frequent. A null text is one empty line and stays null; an empty key is never frequent. Rows that
-    repeat an id and a text each count as a document and lose the same lines. Other columns pass unchanged, columns
-    named ``n_lines`` or ``n_dropped`` are replaced.
+    repeat an id count as one document (rows without an id too) and lose the same lines. Other columns pass unchanged,
+    columns named ``n_lines`` or ``n_dropped`` are replaced.
     """
     spark = docs.sparkSession
     runs = LineRuns(spark, min_docs, min_chars)
     batch = F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches))
     for k in range(batches):
-        runs.add(docs.where(batch == k), text_col)
+        runs.add(docs.where(batch == k), text_col, id_col)
     frequent = runs.frequent()
     runs.clear()
 

@@ -45,6 +45,14 @@ def test_line_dedup_odd_rows(odd_docs):
     assert got.where("text IS NULL").count() == 2
 
 
+def test_line_dedup_counts_an_id_once(spark):
+    rows = [(1, "own line\nshared")] * 10 + [(1, "shared\nanother text")] + [(k, f"shared\nown {k}") for k in range(2, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.n_dropped for r in line_dedup.dedup_lines(docs, min_docs=10).collect()) == [0] * len(rows)
+    more = docs.unionByName(spark.createDataFrame([(10, "Shared ")], docs.schema))
+    assert sorted(r.n_dropped for r in line_dedup.dedup_lines(more, min_docs=10).collect()) == [1] * (len(rows) + 1)
+
+
 def test_line_dedup_levels(spark):
     rows = [(k, f"line {k % 7}\nown {k}") for k in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -32,10 +32,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    groups = simhash.near_duplicates(docs, words=4, radius=4)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """One document of each group of near duplicates: the smallest id, without an id only where no row has one.
+
+    Rows are told apart by id and text, so rows that share an id each belong to their own text's group; of rows equal in
+    both one stays.
+    """
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    keyed = docs.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), text.alias("text")))
+    groups = simhash.near_duplicates(keyed, words=4, radius=4, id_col="__key")
+    keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,6 +55,17 @@ def test_stages_keep_the_columns(spark, odd_docs, sf_dir):
         docs = after
 
 
+def test_near_duplicates_leave_one_row_a_group(spark, odd_docs):
+    kept = corpus_pipeline.near_duplicates(spark, odd_docs, "").collect()
+    groups = {c for _, _, c in brute_components([(r.doc_id, r.text) for r in odd_docs.collect()])}
+    assert sorted(r.doc_id for r in kept) == sorted(groups)
+    a, b, c = (" ".join(f"{x}{k * k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (1, b), (2, b), (3, c), (4, a), (4, c), (None, a), (None, "d e f g h"), (None, "d e f g h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(((r.doc_id or 0, r.text) for r in kept)) == sorted([(1, a), (1, b), (3, c), (0, "d e f g h")])
+
+
 def test_stages_on_nothing(spark, no_docs, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs, sf_dir).count() == 0

@@ -86,10 +86,11 @@ class Pattern:
 
 
 class Matcher:
-    """All items of a block."""
+    """All items of a block; those under ``least_chars`` characters match whole words without edits."""
 
-    def __init__(self, items: list[tuple[object, str]], budget: float):
-        self.items = [(no, text, edits(len(text), budget)) for no, text in items]
+    def __init__(self, items: list[tuple[object, str]], budget: float, least_chars: int = 0):
+        self.least_chars = least_chars
+        self.items = [(no, text, edits(len(text), budget) if len(text) >= least_chars else 0) for no, text in items]
         self.patterns: dict[tuple[int, int, int], Pattern] = {}
         self.borders: list[list[int]] = []
         self.around: dict[int, list[list[tuple[int, int]]]] = {}
@@ -134,6 +135,10 @@ class Matcher:
                 if out.get(k, (1,))[0] == 0:
                     continue
                 _, item, most = self.items[k]
+                if len(item) < self.least_chars:
+                    if text[end - size : end - size + 1] in ("", " ") and text[end + 1 : end + 2] in ("", " "):
+                        out[k] = (0, end + 1)
+                    continue
                 start = end - size + 1 - self.borders[k][p]
                 low, high = max(0, start - most), min(len(text), start + len(item) + most)
                 # Stretches on nearly the same diagonal share a search: it covers twice the budget to both sides.
@@ -150,20 +155,20 @@ class Matcher:
 _matchers: dict[tuple, Matcher] = {}
 
 
-def matcher(items: list[tuple[object, str]], budget: float) -> Matcher:
+def matcher(items: list[tuple[object, str]], budget: float, least_chars: int) -> Matcher:
     """A worker keeps the matcher of the block that it met last."""
-    key = (hash(tuple(items)), budget)
+    key = (hash(tuple(items)), budget, least_chars)
     if key not in _matchers:
         _matchers.clear()
-        _matchers[key] = Matcher(items, budget)
+        _matchers[key] = Matcher(items, budget, least_chars)
     return _matchers[key]
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, least_chars: int) -> Iterator[list[tuple[object, str]]]:
+def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
     block, size = [], 0
     for row in items.select(id_col, text_col).toLocalIterator():
         text = normal(row[1] or "")
-        if len(text) < least_chars:
+        if not text:
             continue
         block.append((row[0], text))
         size += len(text)
@@ -178,8 +183,8 @@ def leaks(docs: DataFrame, items: DataFrame, budget: float = 0.10, least_chars:
     """A row for each document and item that it holds: ``doc_id, item_id, edits, item_chars, end_char``.
 
     ``edits`` is the smallest distance over the document, ``end_char`` where that stretch ends in the text of joined
-    words. Items with fewer than ``least_chars`` characters of joined words (null and empty ones too) are too short to
-    tell a leak from chance and match nothing. Null and empty texts hold no item; repeated rows give repeated rows.
+    words. Items with fewer than ``least_chars`` characters of joined words are too short to tell an edited copy from
+    chance: they match without edits, from word border to word border. Items without a word match nothing. Null and empty texts hold no item; repeated rows give repeated rows.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"))
     item = items.schema[item_col].dataType
@@ -187,7 +192,7 @@ def leaks(docs: DataFrame, items: DataFrame, budget: float = 0.10, least_chars:
 
     def scan_for(block: list[tuple[object, str]]):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = matcher(block, budget)
+            own = matcher(block, budget, least_chars)
             for part in slices(batches):
                 rows = []
                 for doc, raw in zip(part.column(0).to_pylist(), part.column(1), strict=True):
@@ -202,7 +207,7 @@ def leaks(docs: DataFrame, items: DataFrame, budget: float = 0.10, least_chars:
 
         return scan
 
-    found = [source.mapInArrow(scan_for(block), shape) for block in item_blocks(items, item_col, item_text_col, least_chars)]
+    found = [source.mapInArrow(scan_for(block), shape) for block in item_blocks(items, item_col, item_text_col)]
     if not found:
         return source.sparkSession.createDataFrame([], shape)
     whole = found[0]
@@ -213,11 +218,11 @@ def leaks(docs: DataFrame, items: DataFrame, budget: float = 0.10, least_chars:
 
 def without_leaks(docs: DataFrame, items: DataFrame, budget: float = 0.10, least_chars: int = 24, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold an item; columns unchanged."""
-    for block in item_blocks(items, item_col, item_text_col, least_chars):
+    for block in item_blocks(items, item_col, item_text_col):
 
         @F.pandas_udf("boolean")
         def clean(texts, block=block):
-            own = matcher(block, budget)
+            own = matcher(block, budget, least_chars)
             return texts.map(lambda raw: not own.found(normal(as_str(bytes(raw))))).astype(bool)
 
         docs = docs.where(clean(text_bytes(text_col)))

@@ -144,6 +144,15 @@ def test_leaks_against_brute_force(spark):
     assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, table).collect()) == sorted(d for d, _ in rows if d not in dirty)
 
 
+def test_short_items_match_whole_words(spark):
+    items = spark.createDataFrame([(1, "Is it so?"), (2, "今日は晴れ。"), (3, "--"), (4, None), (5, "so")], "item_id long, text string")
+    rows = [(1, "He said: is it SO, then"), (2, "this it sofa"), (3, "天気。今日は晴れ。はい"), (4, "今日は晴れです"), (5, "is it so"), (6, "is it not so"), (7, None), (8, "sofa, is it sob; is it so")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.edits, r.item_chars, r.end_char) for r in decontaminate.leaks(docs, items).collect())
+    assert got == [(1, 1, 0, 8, 16), (1, 5, 0, 2, 16), (3, 2, 0, 5, 8), (5, 1, 0, 8, 8), (5, 5, 0, 2, 8), (6, 5, 0, 2, 12), (8, 1, 0, 8, 23), (8, 5, 0, 2, 23)]
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, items).collect()) == [2, 4, 7]
+
+
 def test_leaks_of_nothing(spark, odd_docs, no_docs):
     table = spark.createDataFrame([(1, "some words that are long enough to be an item")], "item_id long, text string")
     assert decontaminate.leaks(no_docs, table).count() == 0

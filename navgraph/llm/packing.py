@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from navgraph.llm.common import as_str, checkpointed, slices, text_bytes
-from navgraph.llm.token_ids import encoder
+from navgraph.llm.common import checkpointed, text_bytes
+from navgraph.llm.token_ids import encoder, text_slices
 
 #: Buckets in which the pieces of one length are ranked; fixed, so that places do not depend on the cluster.
 RANK_BUCKETS = 256
@@ -109,17 +109,22 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path)
-        end = np.array([end_id], own.dtype).tobytes()
-        for part in slices(batches):
-            out: list[tuple] = []
-            for doc, raw in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                ids = np.frombuffer(own.packed_ids(as_str(raw.as_py())) + end, own.dtype).astype("<u4")
-                first = len(ids) % capacity or capacity
-                at = [0, *range(first, len(ids) + 1, capacity)]
-                out += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(at, at[1:], strict=False))]
-            columns = list(zip(*out, strict=True))
-            kinds = (part.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for part in text_slices(batches):
+            ids, borders = own.batch(part.column(1), end_id)
+            ids = ids.astype("<u4")
+            size = np.diff(borders)
+            n = -(-size // capacity)
+            last = np.cumsum(n)
+            owner = np.repeat(np.arange(len(n)), n)
+            piece = np.arange(len(owner)) - (last - n)[owner]
+            first = (size - (n - 1) * capacity)[owner]  # the first piece takes what whole pieces leave over
+            start = np.where(piece == 0, 0, first + (piece - 1) * capacity)
+            length = np.where(piece == 0, first, capacity)
+            at = borders[owner] + start
+            raw = memoryview(ids).cast("B")
+            crcs = [zlib.crc32(raw[a:b]) for a, b in zip((4 * at).tolist(), (4 * (at + length)).tolist(), strict=True)]
+            columns = [part.column(0).take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crcs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()

@@ -1,21 +1,32 @@
 """Token ids of whole texts, by the ``tokenizers`` library with a memo of words.
 
 Both supported tokenizers split a text before every blank that has non-blank neighbours, so a text's ids are the ids
-of its blank-separated parts in a row. Words come back often; each worker remembers the ids of the parts and words it
-has met and asks the library for the rest only. A word of plain letters goes straight to the library's model; every
-other part (marks, digits, apostrophes, other scripts, special tokens) goes through its whole pipeline.
+of its blank-separated parts in a row. Many texts are split at once with Arrow, which also tells their distinct parts;
+each distinct part is looked up or encoded once, and the texts' ids are gathered from the parts' ids with numpy. Words
+come back often; each worker remembers the ids of the parts and words it has met and asks the library for the rest
+only. A word of plain letters goes straight to the library's model; every other part (marks, digits, apostrophes, other
+scripts, special tokens) goes through its whole pipeline.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Entries of one generation of a worker's memo. When it is full it becomes the old generation and the former old one
-#: is forgotten: this bounds the memory of a worker, not the result.
-MEMO_ENTRIES = 1_000_000
+from navgraph.llm.common import as_str
+
+#: Entries of one generation of a worker's memo (about 200 bytes each, Python's own included), and the longest part
+#: that it keeps. Before a slice of texts a full memo becomes the old generation and the former old one is forgotten:
+#: this bounds the memory of a worker, not the result.
+MEMO_ENTRIES, MEMO_CHARS = 250_000, 48
+#: Bytes of text that are split at once.
+SLICE_BYTES = 6_000_000
 #: Characters on which the library's splitting is known to be letters; with digits, other marks and line feed.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 WORD = re.compile(rf" ?[{LETTERS}]+")
@@ -57,51 +68,109 @@ class Encoder:
         self.old: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.dtype.char, ids).tobytes()
 
     def word(self, word: str) -> bytes:
         """A word of letters, digits or marks that the library's splitting keeps together."""
-        if (known := self.memo.get(word) or self.old.get(word)) is None:
-            if word.isascii():
-                shown = self.alphabet[32] + word[1:] if word[0] == " " else self.alphabet[10] * len(word) if word[0] == "\n" else word
-            else:
-                shown = "".join([self.alphabet[b] for b in word.encode()])
-            known = self.packed([t.id for t in self.model.tokenize(shown)])
-        self.memo[word] = known
+        known = self.memo.get(word)
+        if known is None:
+            known = self.old.get(word)
+            if known is None:
+                if word.isascii():
+                    shown = self.alphabet[32] + word[1:] if word[0] == " " else self.alphabet[10] * len(word) if word[0] == "\n" else word
+                else:
+                    shown = "".join([self.alphabet[b] for b in word.encode()])
+                known = self.packed([t.id for t in self.model.tokenize(shown)])
+            if len(word) <= MEMO_CHARS:
+                self.memo[word] = known
         return known
 
     def part(self, part: str) -> bytes:
         """A text without blanks but for one in front."""
+        known = self.memo.get(part)
+        if known is not None:
+            return known
         if not part:
             return b""
-        if (known := self.memo.get(part)) is None and (known := self.old.get(part)) is None:
+        if (known := self.old.get(part)) is None:
             shown = part if self.keep_blank else part.lower()
-            if WORD.fullmatch(part):
+            if (shown.isascii() and (shown if shown[0] != " " else shown[1:]).isalpha()) or WORD.fullmatch(part):
                 known = self.word(shown)
             elif PLAIN.fullmatch(part) and "<|" not in part and "\n\n" not in part:
                 known = b"".join(map(self.word, self.pretoken.findall(shown)))
             else:
                 known = self.packed(self.tokenizer.encode(part, add_special_tokens=False).ids)
-        self.memo[part] = known
+        if len(part) <= MEMO_CHARS:
+            self.memo[part] = known
         return known
 
-    def packed_ids(self, text: str) -> bytes:
+    def batch(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, ``end_id`` after each text, and the borders between texts (one more than texts)."""
         if len(self.memo) > MEMO_ENTRIES:
             self.old, self.memo = self.memo, {}
-        if not text:
-            return b""
-        if not self.keep_blank:
-            parts = text.split(" ")
-        elif WIDE_BLANKS.search(text):
-            parts = BEFORE_BLANK.split(text)
-        else:
-            first, *rest = text.split(" ")
-            parts = [first, *[" " + x for x in rest]]
-        get, part = self.memo.get, self.part
-        return b"".join([get(x) or part(x) for x in parts])
+        try:
+            strings = texts.cast(pa.string())
+        except pa.ArrowInvalid:  # not UTF-8
+            strings = pa.array([as_str(x.as_py()) for x in texts], pa.string())
+        lists = pc.split_pattern(strings, " ")
+        first = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        distinct, codes = coded.dictionary, coded.indices.to_numpy()
+        if self.keep_blank:
+            distinct = pc.binary_join_element_wise(pa.scalar(" "), distinct, pa.scalar(""))
+        words = distinct.to_pylist()
+        del strings, lists, coded, distinct
+        table = list(map(self.memo.get, words))
+        for k, ids in enumerate(table):
+            if ids is None:
+                table[k] = self.part(words[k])
+        if self.keep_blank:
+            # A part that is empty or has white space at its end next to a blank belongs together with its neighbour.
+            opens = np.fromiter((w[1:2].isspace() or len(w) == 1 for w in words), bool, len(words))
+            shuts = np.fromiter((w[-1].isspace() for w in words), bool, len(words))
+            new = np.ones(len(codes), bool)
+            new[1:] = ~(shuts[codes[:-1]] | opens[codes[1:]])
+            new[first[:-1]] = True
+            begin = np.flatnonzero(new)
+            stop = np.append(begin[1:], len(codes))
+            head = np.zeros(len(codes), bool)
+            head[first[:-1]] = True
+            grouped = codes[begin].copy()
+            for k in np.flatnonzero(head[begin] | (stop - begin > 1)).tolist():
+                a, b = int(begin[k]), int(stop[k])
+                grouped[k] = len(table)
+                whole = "".join([words[c] for c in codes[a:b].tolist()])
+                table.append(self.part(whole[1:] if head[a] else whole))
+            first = np.append(np.searchsorted(begin, first[:-1]), len(begin))
+            codes = grouped
+        flat = np.frombuffer(b"".join(table), self.dtype)
+        size = np.fromiter(map(len, table), np.int64, len(table)) // self.dtype.itemsize
+        n = size[codes]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+        at = np.repeat(((np.cumsum(size) - size)[codes] - (ends - n)).astype(kind), n)
+        at += np.arange(total, dtype=kind)
+        borders = np.append(np.zeros(1, np.int64), ends)[first]
+        ids = flat[at]
+        if end_id is not None:
+            ids = np.insert(ids, borders[1:], self.dtype.type(end_id))
+            borders = borders + np.arange(len(borders))
+        return ids, borders
 
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.packed_ids(text), self.dtype)
+        return self.batch(pa.array([text], pa.string()))[0]
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of about ``SLICE_BYTES`` bytes of text, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy().astype(np.int64))
+        at, done = 0, 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
+            yield batch.slice(at, stop - at)
+            at, done = stop, int(ends[stop - 1])
 
 
 _encoders: dict[str, Encoder] = {}

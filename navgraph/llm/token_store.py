@@ -7,8 +7,9 @@ its chunk hashes, a shard's the root of its documents', and the manifest holds t
 payloads against hashes, recipes against roots, and the shards' roots, counts and places against the manifest.
 
 Files (Parquet folders under one root, in the file system of ``spark.checkpoint.dir`` or any that Spark can write):
-``chunks`` (hash, n_ids, payload: little-endian ids of ``width`` bytes), ``recipes`` (shard, doc_id, start, n_tokens,
-chunks, root), ``manifest`` (shard, first_doc, last_doc, n_docs, n_tokens, width, root).
+``parts`` (kind c: hash, n_ids, payload, the little-endian ids; kind r: the documents' chunk hashes as they were
+cut), ``recipes`` (shard, no, doc_id, start, n_tokens, chunks, root: a shard's documents in order), ``manifest`` (shard,
+start, n_docs, n_tokens, width of an id in bytes, root).
 """
 
 from __future__ import annotations
@@ -18,16 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from navgraph.llm.common import as_str, slices, text_bytes
-from navgraph.llm.token_ids import encoder
+from navgraph.llm.common import text_bytes
+from navgraph.llm.token_ids import encoder, text_slices
 
 #: Ids under the rolling hash's window; a cut follows where the hash's top bits are zero (once in 2**CUT_BITS ids).
 WINDOW_BITS, CUT_BITS, LEAST_IDS, MOST_IDS = 4, 9, 64, 4096
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Nodes under one node of a shard's tree while it is folded, a power of two: what one row collects.
+FOLD = 1024
 
 
 def rolling_hash(ids: np.ndarray) -> np.ndarray:
@@ -44,18 +48,30 @@ def rolling_hash(ids: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Chunk borders, 0 and len(ids) included; chunks have at least LEAST_IDS ids but for the last, MOST_IDS at most."""
-    n, out = len(ids), [0]
-    if n > LEAST_IDS:
-        for at in (np.flatnonzero(rolling_hash(ids) >> np.uint64(64 - CUT_BITS) == 0) + 1).tolist():
-            if at - out[-1] >= LEAST_IDS and at < n:
-                while at - out[-1] > MOST_IDS:
-                    out.append(out[-1] + MOST_IDS)
+def cuts(ids: np.ndarray, borders: np.ndarray | None = None) -> list[int]:
+    """Chunk borders of the streams that stand in ``ids`` between ``borders`` (one stream without them), ends included.
+
+    Chunks have at least LEAST_IDS ids but for a stream's last, MOST_IDS at most. The streams are hashed in a row: a
+    window that reaches into the stream before is over an id that LEAST_IDS rules out as a cut.
+    """
+    ends = [0, len(ids)] if borders is None else borders.tolist()
+    found = (np.flatnonzero(rolling_hash(ids) >> np.uint64(64 - CUT_BITS) == 0) + 1).tolist() if len(ids) > LEAST_IDS else []
+    out, k = [ends[0]], 0
+    for end in ends[1:]:
+        at = out[-1]
+        while k < len(found) and found[k] < end:
+            if found[k] - at >= LEAST_IDS:
+                while found[k] - at > MOST_IDS:
+                    at += MOST_IDS
+                    out.append(at)
+                at = found[k]
                 out.append(at)
-    while n - out[-1] > MOST_IDS:
-        out.append(out[-1] + MOST_IDS)
-    return [*out, n]
+            k += 1
+        while end - at > MOST_IDS:
+            at += MOST_IDS
+            out.append(at)
+        out.append(end)
+    return out
 
 
 def digest(data: bytes) -> bytes:
@@ -72,23 +88,6 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return leaves[0]
 
 
-def crc32_combine(crc_a: int, crc_b: int, len_b: int) -> int:
-    """crc32 of a followed by b, from their crcs: a's crc is carried over len_b zero bytes by squared bit matrices."""
-    if not len_b:
-        return crc_a
-    row, bits = _ZEROS[0], len_b
-    k = 0
-    while bits:
-        if bits & 1:
-            row, value, out = _ZEROS[k], crc_a, 0
-            for i in range(4):
-                out ^= row[i][(value >> (8 * i)) & 255]
-            crc_a = out
-        bits >>= 1
-        k += 1
-    return crc_a ^ crc_b
-
-
 def _zero_tables(powers: int = 40) -> list[list[list[int]]]:
     """For each k the change that 2**k zero bytes make to a crc, as four tables of 256 (the change is linear)."""
 
@@ -118,30 +117,57 @@ def _zero_tables(powers: int = 40) -> list[list[list[int]]]:
 
 
 _ZEROS = _zero_tables()
+_TABLES = np.array(_ZEROS, np.uint32)
+
+
+def joined_crcs(crc: np.ndarray, size: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """crc32 of every owner's pieces in a row, from the pieces' crcs and bytes, ordered by owner: neighbours join in
+    pairs until each owner has one."""
+    crc, size = crc.astype(np.uint32), size.astype(np.int64)
+    while True:
+        first = np.append(True, owner[1:] != owner[:-1])
+        start = np.flatnonzero(first)
+        if len(start) == len(owner):
+            return crc
+        rank = np.arange(len(owner)) - start[np.cumsum(first) - 1]
+        left = np.flatnonzero(rank % 2 == 0)
+        a = left[np.append(owner, owner[-1:] ^ -1)[left + 1] == owner[left]]  # those with a neighbour to the right
+        value, length = crc[a], size[a + 1]
+        for k in range(int(length.max()).bit_length()):
+            at = np.flatnonzero(length >> k & 1)
+            v, table = value[at], _TABLES[k]
+            value[at] = table[0][v & 255] ^ table[1][v >> 8 & 255] ^ table[2][v >> 16 & 255] ^ table[3][v >> 24]
+        crc[a] = value ^ crc[a + 1]
+        size[a] += length
+        crc, size, owner = crc[left], size[left], owner[left]
 
 
 def chunk_rows(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Recipe rows (``kind`` r) and chunk rows (c); a task gives each chunk once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer_path)
-        end, size, given = np.array([end_id], own.dtype).tobytes(), own.dtype.itemsize, set()
-        for part in slices(batches):
-            rows: list[tuple] = []
-            for doc, raw in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                data = own.packed_ids(as_str(raw.as_py())) + end
-                borders = cuts(np.frombuffer(data, own.dtype))
-                names = []
-                for a, b in zip(borders, borders[1:], strict=False):
-                    payload = data[a * size : b * size]
-                    names.append(name := digest(payload))
-                    if name not in given:
-                        given.add(name)
-                        rows.append(("c", name, None, b - a, None, payload))
-                rows.append(("r", digest(repr(doc).encode()), doc, borders[-1], names, None))
-            kinds = (pa.string(), pa.binary(), part.schema.field(0).type, pa.int64(), pa.list_(pa.binary()), pa.binary())
-            names = ["kind", "hash", "doc_id", "n_ids", "chunks", "payload"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        own, given = encoder(tokenizer_path), set()
+        size, kinds = own.dtype.itemsize, pa.list_(pa.binary())
+        for part in text_slices(batches):
+            ids, borders = own.batch(part.column(1), end_id)
+            edges = np.array(cuts(ids, borders), np.int64)
+            raw = memoryview(ids).cast("B")
+            names = [digest(raw[a:b]) for a, b in zip((size * edges[:-1]).tolist(), (size * edges[1:]).tolist(), strict=True)]
+            new = []
+            for k, name in enumerate(names):
+                if name not in given:
+                    given.add(name)
+                    new.append(k)
+            hashes, at = pa.array(names, pa.binary()), np.array(new, np.int64)
+            lengths = np.diff(edges)
+            payloads = pa.array([bytes(raw[size * a : size * b]) for a, b in zip(edges[at].tolist(), edges[at + 1].tolist(), strict=True)], pa.binary())
+            chunks = [pa.array(["c"] * len(new)), hashes.take(pa.array(at)), pa.nulls(len(new), part.schema.field(0).type), pa.array(lengths[at]), pa.nulls(len(new), kinds), payloads]
+            own_names = pa.array([digest(repr(doc).encode()) for doc in part.column(0).to_pylist()], pa.binary())
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(edges, borders), pa.int32()), hashes)
+            n = part.num_rows
+            recipes = [pa.array(["r"] * n), own_names, part.column(0), pa.array(np.diff(borders)), lists, pa.nulls(n, pa.binary())]
+            for columns in (chunks, recipes):
+                yield pa.RecordBatch.from_arrays(columns, ["kind", "hash", "doc_id", "n_ids", "chunks", "payload"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -150,17 +176,53 @@ def chunk_rows(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, t
 
 def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (kind, hash): drop a chunk row whose hash the row before it has."""
-    last = None
+    last = pa.array([None], pa.binary())
     for b in batches:
-        keep = []
-        for kind, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            keep.append(kind != "c" or name != last)
-            last = name if kind == "c" else None
-        yield b.filter(pa.array(keep))
+        hashes = b.column(1)
+        before = pa.concat_arrays([last, hashes.slice(0, b.num_rows - 1)])
+        again = pc.and_(pc.equal(b.column(0), "c"), pc.fill_null(pc.equal(hashes, before), False))
+        last = hashes.slice(b.num_rows - 1)
+        yield b.filter(pc.invert(again))
+
+
+NODE = "shard int, no long, start long, n_tokens long, n_docs long, root binary, whole boolean"
+
+
+def folded(recipes: DataFrame) -> DataFrame:
+    """``NODE`` for each shard, from its documents: places must follow each other (``whole``).
+
+    A binary tree over FOLD leaves at a time, level by level, so that no row collects more than FOLD nodes; that gives
+    the root of one tree over all leaves, as FOLD is a power of two.
+    """
+    nodes = recipes.select("shard", "no", "start", "n_tokens", F.lit(1).cast("long").alias("n_docs"), "root", F.lit(True).alias("whole"))
+    last = recipes.agg(F.max("no")).first()[0] or 0
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for shard, no, nodes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at, whole = nodes[0]["start"], True
+                for x in nodes:
+                    whole = whole and x["whole"] and x["start"] == at and x["n_tokens"] is not None
+                    at += x["n_tokens"] or 0
+                rows.append((shard, no, nodes[0]["start"], at - nodes[0]["start"], sum(x["n_docs"] for x in nodes), merkle_root([x["root"] for x in nodes]), whole))
+            kinds = (pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split(" ")[0] for x in NODE.split(", ")])
+
+    while True:
+        above = nodes.groupBy("shard", F.floor(F.col("no") / FOLD).cast("long").alias("no")).agg(F.array_sort(F.collect_list(F.struct("no", "start", "n_tokens", "n_docs", "root", "whole"))).alias("nodes"))
+        nodes = above.mapInArrow(join, NODE)
+        last //= FOLD
+        if not last:
+            return nodes
 
 
 def write_store(docs: DataFrame, root: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode whole texts and write the store. A null text is an empty one; documents with equal ids stand together."""
+    """Encode whole texts of any length and write the store.
+
+    A null text is an empty one; documents with equal ids stand together, null ids first; other columns, whatever their
+    names, are not read; an empty table gives an empty store.
+    """
     spark = docs.sparkSession
     rows = chunk_rows(docs, tokenizer_path, end_id, id_col, text_col)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -173,33 +235,24 @@ def write_store(docs: DataFrame, root: str, tokenizer_path: str, end_id: int = 1
     ordered = ordered.withColumn("shard", F.spark_partition_id())
 
     def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A document's place in its shard, and its Merkle root."""
-        before = 0
+        """A document's number and place in its shard, and its Merkle root."""
+        before = met = 0
         for b in batches:
             tokens = b.column(1).to_numpy()
             at = before + np.cumsum(tokens) - tokens
             before += int(tokens.sum())
             roots = [merkle_root(x) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int64()), pa.array(roots, pa.binary())], [*b.schema.names, "start", "root"])
+            no = np.arange(met, met + b.num_rows)
+            met += b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(no), pa.array(at, pa.int64()), pa.array(roots, pa.binary())], [*b.schema.names, "no", "start", "root"])
 
     doc_kind = recipes.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {doc_kind}, n_tokens long, chunks array<binary>, shard int, start long, root binary"
+    shape = f"doc_id {doc_kind}, n_tokens long, chunks array<binary>, shard int, no long, start long, root binary"
     ordered.mapInArrow(rooted, shape).write.option("compression", "zstd").parquet(f"{root}/recipes")
 
     width = encoder(tokenizer_path).dtype.itemsize
-    told = spark.read.parquet(f"{root}/recipes").groupBy("shard").agg(
-        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"),
-        F.lit(width).alias("width"), F.array_sort(F.collect_list(F.struct("start", "root"))).alias("leaves"),
-    )
-
-    def root_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            roots = [merkle_root([x["root"] for x in leaves]) for leaves in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(roots, pa.binary())], [*b.schema.names[:-1], "root"])
-
-    told = told.mapInArrow(root_of, f"shard int, first_doc {doc_kind}, last_doc {doc_kind}, n_docs long, n_tokens long, width int, root binary")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    told = told.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
+    told = folded(spark.read.parquet(f"{root}/recipes")).select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"), "n_docs", "n_tokens", F.lit(width).alias("width"), "root")
     told.coalesce(1).write.parquet(f"{root}/manifest")
 
 
@@ -212,31 +265,19 @@ def _verify(spark: SparkSession, root: str) -> None:
     manifest = spark.read.parquet(f"{root}/manifest").select("shard", "n_docs", "n_tokens", "root", F.col("start").alias("at"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     told = manifest.withColumn("placed", F.col("at") == F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    leaves = F.array_sort(F.collect_list(F.struct("start", "n_tokens", "root"))).alias("leaves")
-    held = spark.read.parquet(f"{root}/recipes").groupBy("shard").agg(leaves)
-    both = told.join(held, "shard", "full_outer").select("shard", "n_docs", "n_tokens", "root", "placed", "leaves")
-
-    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bad = []
-            for shard, n_docs, n_tokens, root_, placed, leaves in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                leaves, at, whole = leaves or [], 0, bool(placed)
-                for x in leaves:
-                    whole = whole and x["start"] == at and x["n_tokens"] is not None
-                    at += x["n_tokens"] or 0
-                if not whole or len(leaves) != n_docs or at != n_tokens or merkle_root([x["root"] for x in leaves]) != root_:
-                    bad.append(shard)
-            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int32())], ["shard"])
-
-    if wrong := both.mapInArrow(differ, "shard int").take(1):
+    held = folded(spark.read.parquet(f"{root}/recipes")).withColumnsRenamed({c: f"own_{c}" for c in ("n_docs", "n_tokens", "root", "start")})
+    same = F.col("placed") & F.col("whole") & (F.col("own_start") == 0)
+    for c in ("n_docs", "n_tokens", "root"):
+        same = same & (F.col(c) == F.col(f"own_{c}"))
+    if wrong := told.join(held, "shard", "full_outer").where(~F.coalesce(same, F.lit(False))).select("shard").take(1):
         raise ValueError(f"the recipes of shard {wrong[0]['shard']} do not match the manifest")
 
 
 def _recipes(spark: SparkSession, root: str) -> DataFrame:
-    """Recipes with ``start`` in the whole stream; ``no`` tells documents apart, repeated ids too."""
+    """Recipes with ``start`` in the whole stream."""
     shards = spark.read.parquet(f"{root}/manifest").select("shard", F.col("start").alias("shard_start"))
     found = spark.read.parquet(f"{root}/recipes").join(shards, "shard")
-    return found.withColumn("start", F.col("start") + F.col("shard_start")).drop("shard", "shard_start")
+    return found.withColumn("start", F.col("start") + F.col("shard_start")).drop("shard", "shard_start", "no")
 
 
 def read_digests(spark: SparkSession, root: str) -> DataFrame:
@@ -251,11 +292,14 @@ def read_digests(spark: SparkSession, root: str) -> DataFrame:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, payloads = b.column(0).to_pylist(), b.column(1).to_pylist()
-            if any(digest(p) != h for h, p in zip(names, payloads, strict=True)):
+            payloads = b.column(1)
+            if any(digest(p.as_buffer()) != h for h, p in zip(b.column(0).to_pylist(), payloads, strict=True)):
                 raise ValueError("a chunk's payload does not match its hash")
-            crcs = [zlib.crc32(np.frombuffer(p, f"<u{width}").astype("<u4").tobytes()) for p in payloads]
-            sizes = [len(p) // width for p in payloads]
+            ids = np.frombuffer(b"".join(payloads.to_pylist()), f"<u{width}").astype("<u4")
+            sizes = pc.binary_length(payloads).to_numpy() // width
+            edges = np.append(0, np.cumsum(sizes, dtype=np.int64)) * 4
+            raw = memoryview(ids).cast("B")
+            crcs = [zlib.crc32(raw[x:y]) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crcs, pa.int64()), pa.array(sizes, pa.int32())], ["hash", "crc", "n"])
 
     chunks = _chunks(spark, root).mapInArrow(weigh, "hash binary, crc long, n int")
@@ -265,16 +309,21 @@ def read_digests(spark: SparkSession, root: str) -> DataFrame:
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            crcs = []
-            for n, root_, size, pieces in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-                pieces.sort(key=lambda x: x["pos"])
-                if len(pieces) != size or sum(x["n"] or 0 for x in pieces) != n or merkle_root([x["hash"] for x in pieces]) != root_:
-                    raise ValueError("a document's chunks do not match its recipe")
-                crc = 0
-                for x in pieces:
-                    crc = crc32_combine(crc, x["crc"], 4 * x["n"])
-                crcs.append(crc)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            lists = b.column(5)
+            edges = lists.offsets.to_numpy()
+            flat = lists.flatten()
+            pos, crc, n, name = (flat.field(k) for k in range(4))
+            owner = np.repeat(np.arange(b.num_rows), np.diff(edges))
+            size = pc.fill_null(n, 0).to_numpy()
+            order = np.lexsort((pc.fill_null(pos, 0).to_numpy(), owner))
+            tokens = np.bincount(owner, size, minlength=b.num_rows).astype(np.int64)
+            names = name.take(pa.array(order)).to_pylist()
+            edges = edges - edges[0]
+            roots = [merkle_root(names[x:y]) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)] if None not in names else []
+            if crc.null_count or not (tokens == b.column(2).to_numpy()).all() or not (np.diff(edges) == b.column(4).to_numpy()).all() or roots != b.column(3).to_pylist():
+                raise ValueError("a document's chunks do not match its recipe")
+            crcs = joined_crcs(crc.to_numpy()[order], 4 * size[order].astype(np.int64), owner)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crcs.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     kind = recipes.schema["doc_id"].dataType.simpleString()
     return met.mapInArrow(combine, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")

@@ -153,9 +153,20 @@ def test_store_of_nothing(spark, no_docs):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.binary(max_size=300), st.binary(max_size=300))
-def test_crc_of_joined_parts(a, b):
-    assert token_store.crc32_combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+@given(st.lists(st.lists(st.binary(max_size=90), min_size=1, max_size=9), min_size=1, max_size=5))
+def test_crc_of_joined_parts(owners):
+    parts = [(k, p) for k, own in enumerate(owners) for p in own]
+    crc, size, owner = (np.array(x) for x in ([zlib.crc32(p) for _, p in parts], [len(p) for _, p in parts], [k for k, _ in parts]))
+    assert token_store.joined_crcs(crc, size, owner).tolist() == [zlib.crc32(b"".join(own)) for own in owners]
+
+
+def test_folding_equals_one_tree(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "FOLD", 4)
+    roots = [token_store.digest(str(k).encode()) for k in range(37)]
+    rows = [(7, k, 10 * k, 10, r) for k, r in enumerate(roots)] + [(8, 0, 0, 3, roots[0]), (9, 0, 0, 3, roots[0]), (9, 1, 4, 1, roots[1])]
+    got = {r.shard: r for r in token_store.folded(spark.createDataFrame(rows, "shard int, no long, start long, n_tokens long, root binary")).collect()}
+    assert bytes(got[7].root) == token_store.merkle_root(roots) and (got[7].n_tokens, got[7].n_docs, got[7].whole) == (370, 37, True)
+    assert bytes(got[8].root) == roots[0] and not got[9].whole
 
 
 def test_cuts_follow_content():

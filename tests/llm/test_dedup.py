@@ -59,6 +59,31 @@ def test_line_dedup_levels(spark):
     assert digest(line_dedup.dedup_lines(docs, min_docs=9, batches=9)) == brute_lines(rows, 9)
 
 
+def test_line_runs_are_merged_without_exchange(spark):
+    """A batch meets the runs by merge joins over tables in the same buckets; neither the runs nor the batch move."""
+    docs = spark.createDataFrame([(k, f"line {k % 7}\nown {k}") for k in range(60)], "doc_id long, text string")
+    runs = line_dedup.LineRuns(spark, min_docs=9)
+    _, parts = runs.stage(docs, batches=4)
+    for counts in parts[:3]:
+        runs.add(counts)
+    plan = runs._fresh(parts[3])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "LeftAnti" in plan and "Exchange" not in plan
+    merged = runs._read(runs._runs() + [runs._write(parts[3].withColumn("frequent", F.lit(False)))]).groupBy(*line_dedup.HASH).agg(F.sum("n_docs"))
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+    runs.add(parts[3])
+    assert runs.frequent().count() == 4  # of the seven, four stand in nine documents or more
+    runs.clear()
+
+
+def test_line_dedup_without_ansi(spark):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        got = line_dedup.dedup_lines(spark.createDataFrame([(1, "a\nb"), (2, None)], "doc_id long, text string"))
+        assert sorted((r.doc_id, r.n_lines, r.n_dropped) for r in got.collect()) == [(1, 2, 0), (2, 1, 0)]
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
 def test_line_dedup_empty(no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 

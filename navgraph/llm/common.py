@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,13 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where a session has none (a local test) a temporary folder is set, which the process removes at its end.
+    Where a local session has none (a test) a temporary folder is set, which the process removes at its end; a cluster
+    must name one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     made = spark.sparkContext.getCheckpointDir()
     if made is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
         made = tempfile.mkdtemp(prefix="navgraph-")
         atexit.register(shutil.rmtree, made, True)
         spark.sparkContext.setCheckpointDir(made)
@@ -36,7 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder; Spark deletes it when no plan refers to it any more."""
+    """``df`` computed once and kept in the shared folder; Spark deletes it when no plan refers to it any more, where
+    the cluster sets ``spark.cleaner.referenceTracking.cleanCheckpoints``."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
@@ -63,6 +68,16 @@ def crc_mod(column: str, divisor: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % divisor
 
 
+def hash_limit(rows: int, total: int) -> int:
+    """The signed 64-bit hash below which ``rows`` of ``total`` rows lie on average, however small that share."""
+    return (rows << 64) // total - (1 << 63)
+
+
+def drawn(key: Column, rows: int, total: int) -> Column:
+    """Whether a row belongs to a sample of about ``rows`` of ``total`` rows, by the hash of its key."""
+    return F.lit(True) if rows >= total else F.xxhash64(key, F.lit("fit")) < F.lit(hash_limit(rows, total))
+
+
 def slices(batches: Iterator, rows: int = SLICE_ROWS) -> Iterator:
     """Arrow batches in parts of at most ``rows`` rows, so that few texts are Python objects at once."""
     for batch in batches:

@@ -12,13 +12,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from navgraph.llm.common import as_str, slices, text_bytes
+from navgraph.llm.common import as_str, drawn, slices, text_bytes
 
 DIMENSIONS = 4096
 #: Code points up to here are told letters from others by a table; those above count as letters if Python says so.
@@ -121,8 +123,7 @@ def fit(labelled: DataFrame, fit_rows: int = 4_000, per_language: int = 4, text_
     if not sizes:
         return fit_counts(np.zeros((0, DIMENSIONS)), [])
     each = max(1, fit_rows // len(sizes))
-    limits = F.create_map(*(F.lit(v) for lang, n in sorted(sizes.items()) for v in (lang, int(min(1.0, each / n) * 1_000_000))))
-    chosen = rows.where(F.pmod(F.xxhash64(F.col(order_col), F.lit("fit")), F.lit(1_000_000)) < limits[F.col(lang_col)])
+    chosen = rows.where(reduce(or_, ((F.col(lang_col) == lang) & drawn(F.col(order_col), each, n) for lang, n in sorted(sizes.items()))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -130,12 +131,16 @@ def fit(labelled: DataFrame, fit_rows: int = 4_000, per_language: int = 4, text_
             for raw, lang in zip(part.column(0), part.column(1).to_pylist(), strict=True):
                 points, any_letter = letters(as_str(raw.as_py()))
                 if any_letter:
-                    out.append((lang, np.minimum(counts(points), 65535).astype("<u2").tobytes()))
+                    n = counts(points)
+                    at = np.flatnonzero(n)
+                    out.append((lang, at.astype("<u2").tobytes(), n[at].astype("<u4").tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["lang", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["lang", "at", "counts"])
 
-    told = chosen.select(text_bytes(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(count, "lang string, counts binary").toArrow()
-    raw = np.frombuffer(b"".join(told["counts"].to_pylist()), "<u2").reshape(-1, DIMENSIONS)
+    told = chosen.select(text_bytes(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(count, "lang string, at binary, counts binary").toArrow()
+    raw = np.zeros((told.num_rows, DIMENSIONS), np.uint32)
+    for k, (at, n) in enumerate(zip(told["at"].to_pylist(), told["counts"].to_pylist(), strict=True)):
+        raw[k, np.frombuffer(at, "<u2")] = np.frombuffer(n, "<u4")
     return fit_counts(raw, told["lang"].to_pylist(), per_language)
 
 

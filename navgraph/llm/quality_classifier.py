@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from navgraph.llm.common import slices, text_bytes
+from navgraph.llm.common import drawn, slices, text_bytes
 
 DIMENSIONS = 1 << 14
 MEMO_WORDS = 300_000
@@ -199,8 +199,7 @@ def fit(docs: DataFrame, fit_rows: int = 6_000, text_col: str = "text", order_co
     n = sum(r["n"] for r in told)
     told.sort(key=lambda r: r["votes"])
     labels = fit_label_model([r["votes"] for r in told], np.array([r["n"] for r in told]))
-    share = int(min(1.0, fit_rows / n) * 1_000_000)
-    chosen = source.where(F.pmod(F.xxhash64("order", F.lit("fit")), F.lit(1_000_000)) < share)
+    chosen = source.where(drawn(F.col("order"), fit_rows, n))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, tuple[int, ...]] = {}

@@ -30,6 +30,11 @@ def normal(text: str) -> str:
     return " ".join(WORD.findall(text.lower()))
 
 
+def marks(text: str) -> str:
+    """What items without any word are compared by: all their marks, one blank for white space."""
+    return " ".join(text.lower().split())
+
+
 def edits(length: int, budget: float) -> int:
     return int(length * budget)
 
@@ -86,11 +91,14 @@ class Pattern:
 
 
 class Matcher:
-    """All items of a block; those under ``least_chars`` characters match whole words without edits."""
+    """All items of a block (as ``normal`` or, without a word, ``marks`` has them); those under ``least_chars``
+    characters match whole words without edits, those without a word match as they are."""
 
     def __init__(self, items: list[tuple[object, str]], budget: float, least_chars: int = 0):
         self.least_chars = least_chars
         self.items = [(no, text, edits(len(text), budget) if len(text) >= least_chars else 0) for no, text in items]
+        self.wordless = [k for k, (_, text, _) in enumerate(self.items) if not WORD.search(text)]
+        skipped = set(self.wordless)
         self.patterns: dict[tuple[int, int, int], Pattern] = {}
         self.borders: list[list[int]] = []
         self.around: dict[int, list[list[tuple[int, int]]]] = {}
@@ -98,6 +106,8 @@ class Matcher:
         for k, (_, text, most) in enumerate(self.items):
             cut = pieces(text, most + 1)
             self.borders.append([*(offset for offset, _ in cut), len(text)])
+            if k in skipped:
+                continue
             self.around.setdefault(most + 1, ancestry(most + 1))
             for p, (_, piece) in enumerate(cut):
                 where.setdefault(piece, []).append((k, p))
@@ -124,12 +134,17 @@ class Matcher:
                 return False
         return True
 
-    def found(self, text: str) -> dict[int, tuple[int, int]]:
+    def found(self, raw: str) -> dict[int, tuple[int, int]]:
         """item number -> (edits, end in the text) of its nearest stretch within the item's budget."""
         out: dict[int, tuple[int, int]] = {}
+        if self.wordless and (whole := marks(raw)):
+            for k in self.wordless:
+                if (at := whole.find(self.items[k][1])) >= 0:
+                    out[k] = (0, at + len(self.items[k][1]))
+        text = normal(raw)
         if self.empty or not text:
             return out
-        seen: dict[int, list[tuple[int, int]]] = {}
+        seen: dict[int, tuple[int, int]] = {}
         for end, (size, owners) in self.automaton.iter(text):
             for k, p in owners:
                 if out.get(k, (1,))[0] == 0:
@@ -141,11 +156,12 @@ class Matcher:
                     continue
                 start = end - size + 1 - self.borders[k][p]
                 low, high = max(0, start - most), min(len(text), start + len(item) + most)
-                # Stretches on nearly the same diagonal share a search: it covers twice the budget to both sides.
-                if any(a <= low and high <= b for a, b in seen.get(k, ())) or not self.holds(k, p, start, text):
+                # Stretches on nearly the same diagonal share a search: it covers twice the budget to both sides. Hits
+                # come in order, so the item's last search is the one to look at.
+                if k in seen and seen[k][0] <= low and high <= seen[k][1] or not self.holds(k, p, start, text):
                     continue
                 low, high = max(0, low - most), min(len(text), high + most)
-                seen.setdefault(k, []).append((low, high))
+                seen[k] = (low, high)
                 distance, stop = self.pattern(k, 0, most + 1).nearest(text[low:high])
                 if distance <= most and distance < out.get(k, (most + 1,))[0]:
                     out[k] = (distance, low + stop)
@@ -167,7 +183,7 @@ def matcher(items: list[tuple[object, str]], budget: float, least_chars: int) ->
 def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
     block, size = [], 0
     for row in items.select(id_col, text_col).toLocalIterator():
-        text = normal(row[1] or "")
+        text = normal(row[1] or "") or marks(row[1] or "")
         if not text:
             continue
         block.append((row[0], text))
@@ -184,7 +200,9 @@ def leaks(docs: DataFrame, items: DataFrame, budget: float = 0.10, least_chars:
 
     ``edits`` is the smallest distance over the document, ``end_char`` where that stretch ends in the text of joined
     words. Items with fewer than ``least_chars`` characters of joined words are too short to tell an edited copy from
-    chance: they match without edits, from word border to word border. Items without a word match nothing. Null and empty texts hold no item; repeated rows give repeated rows.
+    chance: they match without edits, from word border to word border. Items of marks only match those marks in a row
+    (white space counts as one blank); blank and null items match nothing. Null and empty texts hold no item; repeated
+    rows give repeated rows; other columns, whatever their names, are not read.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"))
     item = items.schema[item_col].dataType
@@ -196,7 +214,7 @@ def leaks(docs: DataFrame, items: DataFrame, budget: float = 0.10, least_chars:
             for part in slices(batches):
                 rows = []
                 for doc, raw in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    for k, (distance, end) in sorted(own.found(normal(as_str(raw.as_py()))).items()):
+                    for k, (distance, end) in sorted(own.found(as_str(raw.as_py())).items()):
                         no, text, _ = own.items[k]
                         rows.append((doc, no, distance, len(text), end))
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
@@ -217,13 +235,20 @@ def leaks(docs: DataFrame, items: DataFrame, budget: float = 0.10, least_chars:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, budget: float = 0.10, least_chars: int = 24, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold an item; columns unchanged."""
-    for block in item_blocks(items, item_col, item_text_col):
+    """``docs`` without the rows that hold an item by the rules of ``leaks``; columns unchanged, whatever their names.
 
-        @F.pandas_udf("boolean")
-        def clean(texts, block=block):
+    Null and empty texts hold no item and stay, as does everything where there is no item; repeated rows stay or go
+    together.
+    """
+
+    def clean_of(block: list[tuple[object, str]]):
+        @F.arrow_udf("boolean")
+        def clean(texts: pa.Array) -> pa.Array:
             own = matcher(block, budget, least_chars)
-            return texts.map(lambda raw: not own.found(normal(as_str(bytes(raw))))).astype(bool)
+            return pa.array([not own.found(as_str(raw.as_py())) for raw in texts], pa.bool_())
+
+        return clean
 
-        docs = docs.where(clean(text_bytes(text_col)))
+    for block in item_blocks(items, item_col, item_text_col):
+        docs = docs.where(clean_of(block)(text_bytes(text_col)))
     return docs

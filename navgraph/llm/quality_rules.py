@@ -135,12 +135,13 @@ def judge(docs: DataFrame, limits: RepetitionLimits | None = None, id_col: str =
 
 
 def keep_good(docs: DataFrame, limits: RepetitionLimits | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that the rules reject; columns unchanged. The verdict is made beside the text, so rows
-    need no join (repeated ids do not matter)."""
+    """``docs`` without the rows that the rules reject; columns unchanged, whatever their names. The verdict is made
+    beside the text, one text at a time, so rows need no join (repeated ids do not matter). Null, empty and blank texts
+    have no words and go; an empty table stays empty."""
     rules = limits or RepetitionLimits()
 
-    @F.pandas_udf("boolean")
-    def good(texts):
-        return texts.map(lambda raw: measure(bytes(raw), rules)[6]).astype(bool)
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array([measure(raw.as_py(), rules)[6] for raw in texts], pa.bool_())
 
     return docs.where(good(text_bytes(text_col)))

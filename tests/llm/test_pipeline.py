@@ -66,6 +66,14 @@ def test_near_duplicates_leave_one_row_a_group(spark, odd_docs):
     assert sorted(((r.doc_id or 0, r.text) for r in kept)) == sorted([(1, a), (1, b), (3, c), (0, "d e f g h")])
 
 
+def test_stages_with_clashing_columns(spark, odd_docs, sf_dir):
+    docs = odd_docs.withColumnsRenamed({"h1": "n_lines", "n": "n_dropped", "key": "item_id"})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "item_id", "n_lines", "n_dropped"]
+        assert {(r.n_lines, r.n_dropped) for r in docs.collect()} == {(1, 2)}
+
+
 def test_stages_on_nothing(spark, no_docs, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs, sf_dir).count() == 0

@@ -72,6 +72,25 @@ def test_packing_table(spark, sf_dir):
     assert check_places(got, 1024) <= 1.02 * sum(r.length for r in got) / 1024 + 1
 
 
+def test_pieces_with_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_ROWS", 1)  # many buckets
+    rows = [(k % 5, 0, 1 + k % 9, "x", k, 7) for k in range(400)]
+    got = packing.pack_pieces(spark.createDataFrame(rows, "doc_id long, piece int, length long, rank string, rank_bucket int, n int"), 20).collect()
+    assert sorted((r.doc_id, r.piece, r.length, r.rank, r.rank_bucket, r.n) for r in got) == sorted(rows)
+    assert check_places(got, 20) == -(-sum(r[2] for r in rows) // 20)
+
+
+def test_store_query_on_a_table(spark, sf_dir):
+    """The whole query against direct encoding of the whole table."""
+    docs = sorted(tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    start, expected = 0, []
+    for doc, text in docs:
+        ids = ids_of(FILES[1], text, 1)
+        expected.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op9_token_store"](spark, sf_dir).collect()) == expected
+
+
 def test_empty_table(no_docs):
     assert packing.pack_documents(no_docs, tokenizer_file(FILES[0])).count() == 0
 

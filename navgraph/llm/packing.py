@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from navgraph.llm.common import checkpointed, text_bytes
 from navgraph.llm.token_ids import encoder, text_slices
 
-#: Buckets in which the pieces of one length are ranked; fixed, so that places do not depend on the cluster.
-RANK_BUCKETS = 256
+#: Pieces of one length are ranked inside buckets of a hash: 256 at least, and so many that one holds no more than about
+#: RANK_ROWS pieces; they follow from the table, so that places do not depend on the cluster.
+RANK_BUCKETS, RANK_ROWS = 256, 500_000
 
 
 class Bins:
@@ -135,28 +136,30 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     """Add ``sequence_id, offset`` to rows with a ``length`` from 1 to ``capacity``; ``doc_id, piece`` order equal lengths.
 
     Each row gets a place of its own, repeated rows too. Which of several equally long pieces takes which of their
-    places follows the hash of ``doc_id`` and ``piece``. An empty table gives an empty table.
+    places follows the hash of ``doc_id`` and ``piece`` (null ids too). Other columns pass unchanged, whatever their
+    names. An empty table gives an empty table.
     """
-    ranked = pieces.withColumn("rank_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).cast("int"))
-    ranked = checkpointed(ranked)
+    names = pieces.columns
+    own = {c: f"__navgraph_{c}" for c in names if c not in ("doc_id", "piece", "length")}  # no clash with rank, bucket, ...
+    kept = checkpointed(pieces.withColumnsRenamed(own))
+    histogram = {r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    where = places(plan(histogram, capacity))
+    buckets = max(RANK_BUCKETS, 1 << (max(histogram.values(), default=0) // RANK_ROWS).bit_length())
+    ranked = kept.withColumn("rank_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     by_bucket = ranked.groupBy("length", "rank_bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("rank_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_bucket.select("length", "rank_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank_base"))
-    histogram = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    where = places(plan(histogram, capacity))
 
     inside = Window.partitionBy("length", "rank_bucket").orderBy("doc_id", "piece")
     numbered = ranked.withColumn("rank_here", F.row_number().over(inside) - 1)
     numbered = numbered.join(bases, ["length", "rank_bucket"]).withColumn("rank", F.col("rank_base") + F.col("rank_here"))
 
-    names = pieces.columns
-
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (where["length"] << 44) + where["rank"]  # ranks below 2**44, lengths below 2**19
         for b in batches:
             length, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
             at = np.searchsorted(key, (length << 44) + rank, side="right") - 1
-            keep = [b.column(b.schema.get_field_index(c)) for c in names]
+            keep = [b.column(b.schema.get_field_index(own.get(c, c))) for c in names]
             sequence = where["sequence"][at] + rank - where["rank"][at]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence), pa.array(where["offset"][at])], [*names, "sequence_id", "offset"])
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navgraph.llm import decontaminate, language_id, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash, token_store, toxicity
-from navgraph.llm.common import crc_mod, new_path, table
+from navgraph.llm.common import checkpointed, crc_mod, delete_path, new_path, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -65,10 +65,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write all documents' ids to a content-addressed store and read their digests back from its files."""
+    """Write all documents' ids to a content-addressed store and read their digests back from its files, which go then."""
     root = new_path(spark, "token-store")
     token_store.write_store(table(spark, sf_dir, "documents"), root, tokenizer_file("word_bpe_49k.json"), end_id=1)
-    return token_store.read_digests(spark, root)
+    digests = checkpointed(token_store.read_digests(spark, root))
+    delete_path(spark, root)
+    return digests
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

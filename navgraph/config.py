@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import importlib.util
 import inspect
 import json
-from dataclasses import dataclass, field
+import os
+import sys
+from dataclasses import dataclass, field, fields
+from types import ModuleType
 
 from navgraph.hooks import FactHooks
 
@@ -45,3 +49,39 @@ class AnalysisConfig:
         except (OSError, TypeError):
             said["hooks"] = type(self.hooks).__qualname__
         return hashlib.sha256(json.dumps([FACT_VERSION, said], sort_keys=True).encode()).hexdigest()
+
+
+def _module(path: str) -> ModuleType | None:
+    """The Python file at ``path`` as a module that workers can be sent; None if there is no such file."""
+    if not os.path.isfile(path):
+        return None
+    name = "navgraph_custom_" + hashlib.sha256(os.path.abspath(path).encode()).hexdigest()[:12]
+    spec = importlib.util.spec_from_file_location(name, path)
+    module = importlib.util.module_from_spec(spec)
+    sys.modules[name] = module
+    spec.loader.exec_module(module)
+    return module
+
+
+def load_config(root: str, custom: str | None = None, **given) -> AnalysisConfig:
+    """Defaults, then a project's folder, then what the caller gives (``None`` and empty lists give nothing).
+
+    The folder (``custom``, or ``$NAVGRAPH_CUSTOM``) may hold ``config.py`` (names of this class's fields, in capitals),
+    ``seeds.py`` (``ATTR_SEEDS``, ``RET_SEEDS``) and ``facts.py`` (one subclass of ``FactHooks``).
+    """
+    folder = custom or os.environ.get("NAVGRAPH_CUSTOM")
+    values: dict = {}
+    if folder:
+        if not os.path.isdir(folder):
+            raise FileNotFoundError(f"no such folder: {folder}")
+        known = {f.name for f in fields(AnalysisConfig)} - {"root", "hooks"}
+        for name in ("config.py", "seeds.py"):
+            module = _module(os.path.join(folder, name))
+            values |= {k: getattr(module, k.upper()) for k in known if module is not None and hasattr(module, k.upper())}
+        facts = _module(os.path.join(folder, "facts.py"))
+        own = [x for x in vars(facts).values() if isinstance(x, type) and issubclass(x, FactHooks) and x.__module__ == facts.__name__] if facts else []
+        if len(own) > 1:
+            raise ValueError("facts.py has more than one subclass of FactHooks")
+        if own:
+            values["hooks"] = own[0]()
+    return AnalysisConfig(root, **(values | {k: v for k, v in given.items() if v not in (None, [])}))

@@ -53,5 +53,5 @@ def like_literal(text: str) -> str:
 
 
 def display_name(cls: Column, name: Column) -> Column:
-    """``Class.func``, ``func`` or ``?``."""
-    return F.coalesce(F.concat_ws(".", cls, name), F.lit("?")) if name is not None else F.lit("?")
+    """``Class.func``, ``func``, the class alone, or ``?`` where neither is known."""
+    return F.when(cls.isNull() & name.isNull(), "?").otherwise(F.concat_ws(".", cls, name))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navgraph.functions.paths import display_name
+from navgraph.functions.paths import display_name, module_of
 from navgraph.hooks import FactHooks
 from navgraph.navigation import Navigator
 from navgraph.operators.tables import page
@@ -37,6 +38,35 @@ def hunks(diffs: DataFrame) -> DataFrame:
     return rows.select("file", "side", "first", (F.col("first") + F.col("size") - 1).alias("last"))
 
 
+def changes_of(spark: SparkSession, diff: str, old_root: str | None = None) -> DataFrame:
+    """``file, diff, old_text`` from one unified diff of several files, as version control prints it.
+
+    The old texts, by which deleted functions are known, are read below ``old_root`` if it is given. A diff is a few
+    files that someone changed, so it is taken apart on the driver.
+    """
+    parts: dict[str, list[str]] = {}
+    old = new = None
+    for line in diff.split("\n"):
+        if line.startswith("--- "):
+            old, new = line[4:].split("\t")[0].strip(), None
+        elif line.startswith("+++ ") and old is not None:
+            new = line[4:].split("\t")[0].strip()
+            path = old if new == "/dev/null" else new
+            file = path[2:] if path[:2] in ("a/", "b/") else path
+            parts[file] = []
+        elif new is not None:
+            parts[file].append(line)
+    rows = []
+    for file, lines in sorted(parts.items()):
+        where = os.path.join(old_root, file) if old_root else None
+        text = None
+        if where and os.path.isfile(where):
+            with open(where, encoding="utf-8", errors="replace") as f:
+                text = f.read()
+        rows.append((file, "\n".join(lines), text))
+    return spark.createDataFrame(rows, "file string, diff string, old_text string")
+
+
 def functions_of_texts(texts: DataFrame) -> DataFrame:
     """Functions and methods, with their classes' headers, of sources given as text (``file, text``)."""
 
@@ -101,16 +131,9 @@ class Impact:
         return hit.unionByName(declared.join(changes.where("diff IS NULL").select("file"), "file", "left_semi").select(*declared.columns)).drop("until").distinct()
 
     # -- edges ----------------------------------------------------------------------------------------------------
-    def enclosing(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (file, line) with the innermost function around the line (null at the top)."""
-        defs = self.nav.store.table("defs").select("file", F.col("line").alias("d_line"), "end_line", F.col("cls").alias("e_cls"), F.col("name").alias("e_func"))
-        keys = rows.select("file", "line").distinct()
-        inner = keys.join(defs, "file").where(F.col("line").between(F.col("d_line"), F.col("end_line"))).groupBy("file", "line").agg(F.max(F.struct("d_line", "e_cls", "e_func")).alias("e"))
-        return rows.join(inner.select("file", "line", "e.e_cls", "e.e_func"), ["file", "line"], "left")
-
     def edges(self) -> DataFrame:
         """``to, target, caller_key, caller, caller_file, caller_line, via``: who is reached when a function changes."""
-        return self.nav.graph._once("impact_edges", self._edges)
+        return self.nav.graph._once("impact_edges", self._edges, kept=True)
 
     def _edges(self) -> DataFrame:
         def rows(df: DataFrame, to: tuple[str, str, str], by: tuple[str, str, str], line: str, via: str) -> DataFrame:
@@ -124,7 +147,7 @@ class Impact:
         direct = rows(calls.call_edges(), ("dst_file", "dst_cls", "dst_func"), ("src_file", "src_cls", "src_func"), "line", "call")
         back = rows(calls.callback_edges(), ("def_file", "def_cls", "target"), ("file", "cls", "source"), "line", "callback")
         defs = store.table("defs").select(F.col("file").alias("t_file"), F.col("cls").alias("t_cls"), F.col("name").alias("method"))
-        sent = self.enclosing(store.table("rpc").select("file", "line", "method", "stub")).join(defs, "method").where("t_cls IS NULL OR stub IS NULL OR stub = t_cls")
+        sent = self.nav.enclosing(store.table("rpc").select("file", "line", "method", "stub")).join(defs, "method").where("t_cls IS NULL OR stub IS NULL OR stub = t_cls")
         remote = rows(sent, ("t_file", "t_cls", "method"), ("file", "e_cls", "e_func"), "line", "rpc")
         one = store.table("pubsub").where("func IS NOT NULL")
         other = one.select("event", F.when(F.col("side") == "publish", "listen").otherwise("publish").alias("side"), F.col("file").alias("t_file"), F.col("cls").alias("t_cls"), F.col("func").alias("t_func"))
@@ -180,10 +203,19 @@ class Impact:
         return found.select(F.lit(1).alias("layer"), display_name(F.col("dst_cls"), F.col("dst_func")).alias("target"), display_name(F.col("src_cls"), F.col("src_func")).alias("caller"), F.col("src_file").alias("caller_file"), F.col("line").alias("caller_line"), F.lit("snapshot").alias("via"), F.lit(None).cast("string").alias("caller_key"))
 
     def importers(self, changes: DataFrame) -> DataFrame:
-        """``file, imports``: files that import a changed file, from the index or by the module's name if it is gone."""
+        """``file, imports``: files that import a changed file, from the index or, where the index has lost the file, by
+        its module's name (``import m``, ``from m import x``, ``import m.x``)."""
         edges = self.nav.import_edges()
-        hit = edges.join(changes.select(F.col("file").alias("dst")).distinct(), "dst").select(F.col("src").alias("file"), F.col("dst").alias("imports"))
-        return hit.distinct().orderBy("file", "imports")
+        files = changes.select(F.col("file").alias("dst")).distinct()
+        hit = edges.join(files, "dst").select(F.col("src").alias("file"), F.col("dst").alias("imports"))
+        gone = files.join(self.nav.store.files().select(F.col("file").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("imports"), module_of(F.col("dst")).alias("gone"))
+        # Every module that an import names or lies under, so that this stays an equality join.
+        parts = F.split("module", r"\.")
+        over = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+        imports = self.nav.store.table("imports").where("module <> ''").select("file", "module", "name")
+        named = imports.select("file", F.explode(F.concat(over, F.when(F.col("name").isNotNull(), F.array(F.concat_ws(".", "module", "name"))).otherwise(F.array().cast("array<string>")))).alias("gone"))
+        by_name = named.join(gone, "gone").where(F.col("file") != F.col("imports")).select("file", "imports")
+        return hit.unionByName(by_name).distinct().orderBy("file", "imports")
 
     # -- projections ----------------------------------------------------------------------------------------------
     @staticmethod

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -16,14 +17,35 @@ from navgraph.resolve import CallGraph
 from navgraph.sources.store import FactStore
 
 IDENTIFIER = re.compile(r"[A-Za-z_]\w*\Z")
-#: Callees too common to tell anything.
+#: Callees too common to tell anything, as compatible answers leave them out.
 NOISE = (
-    "len print range str int float bool list dict set tuple isinstance issubclass getattr setattr hasattr super type "
-    "min max sum sorted enumerate zip map filter any all abs round open repr iter next id vars callable append format"
+    "bool int float str bytes list dict tuple set len range enumerate isinstance issubclass getattr setattr hasattr print "
+    "sorted min max sum abs any all map filter zip open super type repr format round id hash iter next divmod pow"
 ).split()
 HUB_LEAST = 10
 
 
+@dataclass(frozen=True)
+class Answer:
+    """Rows with what a reader needs to judge them: counts of evidence, coverage of the files asked about (``complete``
+    or ``partial`` with the failed ones), state of the index, and why there is nothing, if so."""
+
+    query: str
+    rows: DataFrame
+    coverage: dict
+    index: dict
+    note: str | None = None
+    elapsed: float = 0.0
+
+    def counts(self) -> dict[str, int]:
+        """Verified, candidate and inferred rows; empty where rows carry no level."""
+        if "level" not in self.rows.columns:
+            return {}
+        level = F.col("level")
+        told = self.rows.agg(F.count_if(level == "VERIFIED").alias("verified"), F.count_if(level == "CANDIDATE").alias("candidate"), F.count_if(level.endswith("-INFERRED")).alias("inferred"))
+        return told.first().asDict()
+
+
 @dataclass
 class Navigator:
     store: FactStore
@@ -33,6 +55,31 @@ class Navigator:
     def __post_init__(self) -> None:
         self.graph = CallGraph(self.store, self.config)
 
+    def ask(self, question: str, *given, index: dict | None = None, **named) -> Answer:
+        """The answer of a method of this class in its envelope. ``index`` is what a refresh returned; coverage is the
+        scope's for questions about a scope and the whole index's for all others."""
+        began = time.time()
+        rows = getattr(self, question.replace("-", "_"))(*given, **named)
+        scoped = question in ("deps", "importers", "external")
+        scope = (given[0] if given else named.get("scope", "")) if scoped else None
+        told = self.store.coverage(scope or None).first()
+        coverage = {"status": told["coverage"], "files": told["files"], "parse_failed": told["failed"], "issues": list(told["issues"])}
+        note = None
+        if question in ("callers", "callees"):
+            note = self.target_note(*(list(given) + [named[k] for k in ("file", "func") if k in named])[:2])
+        elif question == "importers" and scope and self.is_hub(scope):
+            note = f"a hub: {self.hub_degree()} importers or more"
+        elif question == "file-context" and not rows.take(1):
+            note = "the file is not in the index"
+        return Answer(question, rows, coverage, {**self.store.state(), **(index or {})}, note, round(time.time() - began, 3))
+
+    def enclosing(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (file, line) with the innermost function around the line (``e_cls, e_func``, null at the top)."""
+        defs = self.store.table("defs").select("file", F.col("line").alias("d_line"), "end_line", F.col("cls").alias("e_cls"), F.col("name").alias("e_func"))
+        keys = rows.select("file", "line").distinct()
+        inner = keys.join(defs, "file").where(F.col("line").between(F.col("d_line"), F.col("end_line"))).groupBy("file", "line").agg(F.max(F.struct("d_line", "e_cls", "e_func")).alias("e"))
+        return rows.join(inner.select("file", "line", "e.e_cls", "e.e_func"), ["file", "line"], "left")
+
     # -- calls ----------------------------------------------------------------------------------------------------
     def target(self, file: str, func: str, receiver_class: str | None = None) -> DataFrame:
         """The definition that a question is about: the first of that name in the file (of the class, if one is named)."""
@@ -68,7 +115,7 @@ class Navigator:
         note = F.when(level != "CANDIDATE", F.lit(None).cast("string")).when(F.col("def_file").isNotNull(), F.concat(F.lit("resolved to "), "def_file", F.lit(":"), "def_line")).otherwise("unreachable")
         graded = met.where(F.col("types").isNull() | agrees).select(level.alias("level"), "file", "line", display_name(F.col("cls"), F.col("func")).alias("caller"), note.alias("note"))
         # Files that do not parse have names only: every occurrence is a candidate.
-        broken = self.store.table("names").where(F.col("name") == func).join(parsed.where("NOT parse_ok"), "file").crossJoin(F.broadcast(target))
+        broken = self.store.by_name("names").where(F.col("name") == func).join(parsed.where("NOT parse_ok"), "file").crossJoin(F.broadcast(target))
         unknown = broken.select(F.lit("CANDIDATE").alias("level"), "file", "line", F.lit("?").alias("caller"), F.lit("parse failure").alias("note"))
         back = self.graph.callback_edges().join(F.broadcast(target), (F.col("def_file") == F.col("t_file")) & (F.col("def_line") == F.col("t_line")))
         by_callback = back.select("level", "file", "line", F.concat_ws(".", "cls", "source").alias("caller"), F.col("kind").alias("note"))
@@ -88,13 +135,13 @@ class Navigator:
 
     def usages(self, symbol: str, limit: int = 200) -> DataFrame:
         """``level, file, line, col``: raw occurrences, one more than ``limit`` where there are more; empty for no name."""
-        rows = self.store.table("names").where(F.col("name") == symbol if IDENTIFIER.match(symbol) else F.lit(False))
+        rows = self.store.by_name("names").where(F.col("name") == symbol if IDENTIFIER.match(symbol) else F.lit(False))
         return rows.select(F.lit("OCCUR").alias("level"), "file", "line", "col").orderBy("file", "line", "col").limit(limit + 1)
 
     def defs(self, symbol: str, limit: int = 200, with_classes: bool = False) -> DataFrame:
         """``level, kind, file, line, symbol`` of functions and methods of a name, and of classes if asked for."""
         sound = F.lit(bool(IDENTIFIER.match(symbol)))
-        rows = self.store.table("defs").where(sound & (F.col("name") == symbol)).select(F.lit("DEFINITION").alias("level"), F.when(F.col("cls").isNull(), "function").otherwise("method").alias("kind"), "file", "line", display_name(F.col("cls"), F.col("name")).alias("symbol"))
+        rows = self.store.by_name("defs").where(sound & (F.col("name") == symbol)).select(F.lit("DEFINITION").alias("level"), F.when(F.col("cls").isNull(), "function").otherwise("method").alias("kind"), "file", "line", display_name(F.col("cls"), F.col("name")).alias("symbol"))
         if with_classes:
             classes = self.store.table("classes").where(sound & (F.col("name") == symbol))
             rows = rows.unionByName(classes.select(F.lit("DEFINITION").alias("level"), F.lit("class").alias("kind"), "file", "line", F.col("name").alias("symbol")))
@@ -112,7 +159,7 @@ class Navigator:
 
     def import_edges(self) -> DataFrame:
         """Distinct ``src, dst`` between indexed files."""
-        return self.graph._once("import_edges", lambda: self._import_targets().where("dst IS NOT NULL AND dst <> file").select(F.col("file").alias("src"), "dst").distinct())
+        return self.graph._once("import_edges", kept=True, make=lambda: self._import_targets().where("dst IS NOT NULL AND dst <> file").select(F.col("file").alias("src"), "dst").distinct())
 
     def external(self, scope: str = "") -> DataFrame:
         """``module, n``: imported modules that no indexed file is, by how often they are imported."""
@@ -197,17 +244,20 @@ class Navigator:
 
     # -- framework facts ------------------------------------------------------------------------------------------
     def rpc_refs(self, method: str, stub: str | None = None) -> DataFrame:
-        """``level, file, line, symbol, chan``: calls of a remote method, its handlers, and mere namesakes.
+        """``level, file, line, symbol, chan, match``: calls of a remote method (``symbol`` is the function around the
+        call), its handlers, and mere namesakes.
 
-        A handler counts where its channel, or a channel that means the same, is one on which the method is called;
-        with no call in sight every handler of the method counts.
+        A handler counts where its endpoint is the stub asked for, if one is, and its channel, or a channel that means
+        the same, is one on which the method is called; with no call in sight every such handler counts. Definitions
+        of the name that are no such handler are namesakes. Channels show under their configured names.
         """
         calls = self.store.table("rpc").where(F.col("method") == method)
-        if stub:
-            calls = calls.where(F.col("stub").isNull() | (F.col("stub") == stub))
         handlers = self.store.table("rpc_handler").where(F.col("method") == method)
-        pairs = [(c, x) for c, xs in self.config.rpc_aliases.items() for x in xs]
-        aliases = self.store.spark.createDataFrame(pairs, "chan string, alias string") if pairs else self.store.spark.createDataFrame([], "chan string, alias string")
+        if stub:
+            calls = calls.where(F.col("stub") == stub)
+            handlers = handlers.where(F.col("endpoint") == stub)
+        frame = lambda rows, shape: self.store.spark.createDataFrame(rows, shape)
+        aliases = frame([(c, x) for c, xs in self.config.rpc_aliases.items() for x in xs], "chan string, alias string")
         means = handlers.select("chan").distinct().withColumn("alias", F.col("chan")).unionByName(aliases)
         used = calls.select(F.col("chan").alias("alias")).distinct()
         sounds = means.join(used, "alias", "left_semi").select("chan").distinct()
@@ -215,11 +265,14 @@ class Navigator:
         met = handlers.join(sounds.withColumn("heard", F.lit(True)), "chan", "left").crossJoin(F.broadcast(any_call)).where("heard OR silent")
         level = F.when(F.col("confidence") == "verified", "HANDLER-VERIFIED").otherwise("HANDLER-INFERRED")
         defs = self.store.table("defs").where(F.col("name") == method)
-        named = defs.join(handlers.select("file", "line"), ["file", "line"], "left_anti")
+        named = defs.join(met.select("file", "line").distinct(), ["file", "line"], "left_anti")
         blank = F.lit(None).cast("string")
-        found = calls.select(F.lit("RPC-INFERRED").alias("level"), "file", "line", F.concat_ws(".", "stub", "method").alias("symbol"), "chan")
-        found = found.unionByName(met.select(level.alias("level"), "file", "line", F.concat_ws(".", "endpoint", "method").alias("symbol"), "chan"))
-        found = found.unionByName(named.select(F.lit("NAME-ONLY").alias("level"), "file", "line", display_name(F.col("cls"), F.col("name")).alias("symbol"), blank.alias("chan")))
+        found = self.enclosing(calls).select(F.lit("RPC-INFERRED").alias("level"), "file", "line", display_name(F.col("e_cls"), F.col("e_func")).alias("symbol"), "chan", blank.alias("match"))
+        found = found.unionByName(met.select(level.alias("level"), "file", "line", F.concat_ws(".", "endpoint", "method").alias("symbol"), "chan", F.lit("direction+endpoint" if stub else "direction").alias("match")))
+        found = found.unionByName(named.select(F.lit("NAME-ONLY").alias("level"), "file", "line", display_name(F.col("cls"), F.col("name")).alias("symbol"), blank.alias("chan"), F.lit("name-only").alias("match")))
+        if self.config.rpc_channels:
+            names = frame([(c, *told) for c, told in self.config.rpc_channels.items()], "chan string, shown string, direction string")
+            found = found.join(F.broadcast(names), "chan", "left").select("level", "file", "line", "symbol", F.when(F.col("shown").isNull(), F.col("chan")).otherwise(F.concat_ws(" ", "shown", "direction")).alias("chan"), "match")
         return found.orderBy("level", "file", "line")
 
     def pubsub_refs(self, event: str, side: str | None = None) -> DataFrame:

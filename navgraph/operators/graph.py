@@ -17,11 +17,6 @@ def hubs(edges: DataFrame, src: str, dst: str, top: int) -> DataFrame:
     return in_degree(edges, src, dst).orderBy(F.desc("n"), dst).limit(top)
 
 
-def hub_limit(n_targets: int, share: float = 0.95, least: int = 10) -> tuple[int, int]:
-    """(0-based place in the descending list of degrees, least degree) of the hub rule."""
-    return max(int(n_targets * share) - 1, 0), least
-
-
 def layers(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", max_depth: int = 0) -> DataFrame:
     """``node, layer``: the fewest edges from a seed, seeds at 0; ``max_depth`` 0 goes on to the end.
 
@@ -39,15 +34,20 @@ def layers(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst
     return met
 
 
-def reachable_pairs(edges: DataFrame, src: str = "src", dst: str = "dst", max_depth: int = 32) -> DataFrame:
-    """``origin, node``: every node and what it reaches, itself included; for graphs as small as class hierarchies."""
+def reachable_pairs(edges: DataFrame, src: str = "src", dst: str = "dst", max_depth: int = 0) -> DataFrame:
+    """``origin, node``: every node and what it reaches, itself included; for graphs as small as class hierarchies.
+
+    ``max_depth`` 0 goes on to the end: each round meets new pairs, and there are finitely many.
+    """
     edges = checkpointed(edges.select(F.col(src).alias("__src"), F.col(dst).alias("node")).distinct())
     nodes = edges.select(F.col("__src").alias("node")).union(edges.select("node")).distinct()
-    met = frontier = checkpointed(nodes.select(F.col("node").alias("origin"), "node"))
-    for _ in range(max_depth):
+    met = frontier = checkpointed(nodes.select(F.col("node").alias("origin"), "node"), plain=True)
+    depth = 0
+    while max_depth == 0 or depth < max_depth:
+        depth += 1
         ahead = frontier.withColumnRenamed("node", "__src").join(edges, "__src").select("origin", "node").distinct()
-        frontier = checkpointed(ahead.join(met, ["origin", "node"], "left_anti"))
+        frontier = checkpointed(ahead.join(met, ["origin", "node"], "left_anti"), plain=True)
         if not frontier.take(1):
             break
-        met = met.unionByName(frontier)
+        met = checkpointed(met.unionByName(frontier), plain=True) if depth % 8 == 0 else met.unionByName(frontier)
     return met

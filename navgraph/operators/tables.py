@@ -17,13 +17,6 @@ def drift(known: DataFrame, found: DataFrame, key: str, compared: list[str]) ->
     return a.join(b, F.col("__a") == F.col("__b"), "full_outer").select(F.coalesce("__a", "__b").alias(key), change.alias("change")).where("change IS NOT NULL")
 
 
-def pair_sides(left: DataFrame, right: DataFrame, key: str, left_cols: dict[str, str], right_cols: dict[str, str]) -> DataFrame:
-    """Left and right rows of one key side by side, columns renamed as the two maps say."""
-    a = left.select(key, *(F.col(c).alias(n) for c, n in left_cols.items()))
-    b = right.select(key, *(F.col(c).alias(n) for c, n in right_cols.items()))
-    return a.join(b, key)
-
-
 def roll_up(df: DataFrame, key: Column, size: str | None = None) -> DataFrame:
     """Rows, and the sum of ``size``, by a key expression."""
     sums = [F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes")] if size else []

@@ -8,6 +8,7 @@ function of that name, in all files or else in the own file.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,10 @@ from navgraph.operators.grading import best_rank
 from navgraph.shared import checkpointed
 from navgraph.sources.store import FactStore
 
-#: Levels of inheritance and rounds of variable typing.
-MAX_DEPTH, TYPE_ROUNDS = 32, 6
+#: Raised when the same facts resolve differently, so that kept tables are made again.
+RESOLVER_VERSION = 2
+#: Rounds of variable typing.
+TYPE_ROUNDS = 6
 COMPONENT_ORD = 1 << 20
 
 
@@ -40,9 +43,12 @@ class CallGraph:
     config: AnalysisConfig
     _made: dict[str, DataFrame] = field(default_factory=dict)
 
-    def _once(self, name: str, make) -> DataFrame:
+    def _once(self, name: str, make, kept: bool = False) -> DataFrame:
+        """The table ``name``, made once a session; one that is ``kept`` stays in the store beside the facts that it was
+        made from, and later sessions read it there (until the facts, the configuration or the resolver change)."""
         if name not in self._made:
-            self._made[name] = checkpointed(make())
+            tag = f"{RESOLVER_VERSION}-{self.config.fingerprint()[:16]}"
+            self._made[name] = self.store.derived(f"{tag}/{name}", make) if kept and self.store.keeps() else checkpointed(make())
         return self._made[name]
 
     # -- names of files and classes -------------------------------------------------------------------------------
@@ -51,7 +57,7 @@ class CallGraph:
         def make():
             ranked = self.store.files().select("module", "file", F.when(F.col("file").endswith("/__init__.py"), 0).otherwise(1).alias("rank"))
             return best_rank(ranked, ["module"], "rank", ["file"]).select("module", "file")
-        return self._once("modules", make)
+        return self._once("modules", make, kept=True)
 
     def visible_imports(self) -> DataFrame:
         """``file, scope, bound, module, name``: a name that one scope binds to two targets is left out."""
@@ -63,6 +69,13 @@ class CallGraph:
             return one.select("file", "scope", "bound", "target.module", "target.name")
         return self._once("visible_imports", make)
 
+    def named_members(self) -> DataFrame:
+        """``host, comp``: what the project's hooks say an import-all component brings (one row for each host that has
+        any; hosts are few)."""
+        hosts = [r["host"] for r in self.store.table("comp_raw").where("kind = 'importall'").select("host").distinct().orderBy("host").toLocalIterator()]
+        rows = [(host, name) for host in hosts for name in self.config.hooks.importall_members(host) or []]
+        return self.store.spark.createDataFrame(rows, "host string, comp string")
+
     def components(self) -> DataFrame:
         """``host, host_file, comp, comp_file``: classes whose methods a host class takes in."""
         def make():
@@ -75,12 +88,16 @@ class CallGraph:
             by_attr = attrs.join(classes, "comp").withColumn("rank", nearness(F.col("file"), F.col("comp_file")))
             by_attr = best_rank(by_attr.select("file", "host", "value", "comp", "rank", "comp_file"), ["file", "host", "value"], "rank", ["comp_file"])
             level_one = self.store.table("imports").where("scope = '' AND name IS NOT NULL").select("file", F.col("module").alias("from_module"), F.col("name"))
+            told = self.named_members()
+            listed = told.select("host").distinct()
+            chosen = told.join(raw.where("kind = 'importall'").select("file", "host"), "host").join(classes, "comp").withColumn("rank", nearness(F.col("file"), F.col("comp_file")))
+            chosen = best_rank(chosen.select("file", "host", "comp", "rank", "comp_file"), ["file", "host", "comp"], "rank", ["comp_file"])
             inits = self.modules().withColumnRenamed("file", "init_file")
-            whole = raw.where(F.col("kind") == "importall").select(F.col("file"), "host", F.col("value").alias("module")).join(inits, "module")
+            whole = raw.where(F.col("kind") == "importall").join(listed, "host", "left_anti").select(F.col("file"), "host", F.col("value").alias("module")).join(inits, "module")
             members = whole.join(level_one.withColumnRenamed("file", "init_file"), "init_file").join(self.modules().select(F.col("module").alias("member_module"), F.col("file").alias("comp_file")), F.col("member_module") == F.concat_ws(".", "from_module", "name"))
             every = members.select("file", "host", "comp_file").join(classes, "comp_file")
-            parts = [x.select("host", F.col("file").alias("host_file"), "comp", "comp_file") for x in (refs, by_attr, every)]
-            return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+            parts = [x.select("host", F.col("file").alias("host_file"), "comp", "comp_file") for x in (refs, by_attr, every, chosen)]
+            return reduce(DataFrame.unionByName, parts).distinct()
         return self._once("components", make)
 
     def class_edges(self) -> DataFrame:
@@ -103,16 +120,15 @@ class CallGraph:
             met = frontier = checkpointed(start.select("cls", "file", F.col("cls").alias("anc"), F.col("file").alias("anc_file"), F.array().cast("array<string>").alias("path")))
             step = edges.select(F.col("cls").alias("anc"), F.col("file").alias("anc_file"), "up", "up_file", "step")
             keys = ["cls", "file", "anc", "anc_file"]
-            for _ in range(MAX_DEPTH):
+            while True:  # a path through a cycle is longer than the one before it, hence never better: rounds end
                 ahead = frontier.join(step, ["anc", "anc_file"]).select("cls", "file", F.col("up").alias("anc"), F.col("up_file").alias("anc_file"), F.concat("path", "step").alias("path"))
                 best = ahead.groupBy(*keys).agg(F.min("path").alias("path"))
                 old = met.withColumnRenamed("path", "old_path")
                 better = checkpointed(best.join(old, keys, "left").where("old_path IS NULL OR path < old_path").drop("old_path"))
                 if not better.take(1):
-                    break
+                    return met
                 met = checkpointed(met.join(better.select(*keys), keys, "left_anti").unionByName(better))
                 frontier = better
-            return met
         return self._once("ancestors", make)
 
     def methods(self) -> DataFrame:
@@ -247,7 +263,7 @@ class CallGraph:
 
             found = via_self.unionByName(via_type).unionByName(via_module).unionByName(via_name)
             return calls.join(found, keys, "left")
-        return self._once("resolved", make)
+        return self._once("resolved", make, kept=True)
 
     def call_edges(self) -> DataFrame:
         """Function to function: ``src_file, src_cls, src_func, src_line, line, dst_file, dst_cls, dst_func, dst_line``."""
@@ -258,7 +274,7 @@ class CallGraph:
                 F.col("file").alias("src_file"), F.col("cls").alias("src_cls"), F.col("func").alias("src_func"), F.col("scope").alias("src_scope"), "line",
                 F.col("def_file").alias("dst_file"), "dst_cls", "dst_func", F.col("def_line").alias("dst_line"),
             )
-        return self._once("call_edges", make)
+        return self._once("call_edges", make, kept=True)
 
     def hosts(self) -> DataFrame:
         """``cls, file, host, host_file``: classes at run time behind a class: itself, its hosts and its subclasses.
@@ -271,14 +287,13 @@ class CallGraph:
             edges = self.class_edges().join(unique.withColumnRenamed("cls", "up"), "up")
             back = edges.where((F.col("n") == 1) | (F.col("up_file") == F.col("file")) | (F.element_at("step", 1) == F.lpad(F.lit(str(COMPONENT_ORD)), 8, "0")))
             step = checkpointed(back.select(F.col("up").alias("host"), F.col("up_file").alias("host_file"), F.col("cls").alias("next"), F.col("file").alias("next_file")).distinct())
-            met = frontier = checkpointed(classes.select("cls", "file", F.col("cls").alias("host"), F.col("file").alias("host_file")))
-            for _ in range(MAX_DEPTH):
+            met = frontier = checkpointed(classes.select("cls", "file", F.col("cls").alias("host"), F.col("file").alias("host_file")), plain=True)
+            while True:  # every round meets new pairs or ends
                 ahead = frontier.join(step, ["host", "host_file"]).select("cls", "file", F.col("next").alias("host"), F.col("next_file").alias("host_file")).distinct()
-                frontier = checkpointed(ahead.join(met, ["cls", "file", "host", "host_file"], "left_anti"))
+                frontier = checkpointed(ahead.join(met, ["cls", "file", "host", "host_file"], "left_anti"), plain=True)
                 if not frontier.take(1):
-                    break
-                met = met.unionByName(frontier)
-            return met
+                    return met
+                met = checkpointed(met.unionByName(frontier), plain=True)
         return self._once("hosts", make)
 
     def callback_edges(self) -> DataFrame:
@@ -286,10 +301,11 @@ class CallGraph:
         def make():
             raw = self.store.table("callback_raw").select("file", "line", "cls", "kind", "source", "target")
             defs = self.store.table("defs").where("cls IS NOT NULL AND NOT nested").select(F.col("file").alias("def_file"), F.col("cls").alias("def_cls"), F.col("name").alias("target"), F.col("line").alias("def_line"))
-            pairs = raw.join(defs, "target")
-            left = self.hosts().withColumnsRenamed({"cls": "cls", "file": "file"})
-            right = self.hosts().withColumnsRenamed({"cls": "def_cls", "file": "def_file"})
-            shared = left.join(right, ["host", "host_file"]).select("cls", "file", "def_cls", "def_file").distinct()
-            met = pairs.join(shared, ["cls", "file", "def_cls", "def_file"], "left_semi")
+            pairs = raw.join(defs, "target").select("file", "line", "cls", "kind", "source", "target", "def_file", "def_cls", "def_line")
+            hosts = self.hosts()
+            one = hosts.select(F.col("cls"), F.col("file"), F.col("host").alias("host"), F.col("host_file").alias("host_file"))
+            other = hosts.select(F.col("cls").alias("def_cls"), F.col("file").alias("def_file"), F.col("host").alias("host"), F.col("host_file").alias("host_file"))
+            # Only the hosts of classes in a declared pair meet.
+            met = pairs.join(one, ["cls", "file"]).join(other, ["def_cls", "def_file", "host", "host_file"]).select(*pairs.columns).distinct()
             return met.withColumn("level", F.concat(F.upper("kind"), F.lit("-INFERRED")))
-        return self._once("callback_edges", make)
+        return self._once("callback_edges", make, kept=True)

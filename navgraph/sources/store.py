@@ -12,7 +12,7 @@ import hashlib
 import json
 import os
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -27,6 +27,8 @@ from navgraph.schema import FACTS, fact_arrow, fact_ddl
 from navgraph.sources.extract import scan
 
 BUCKETS = 64
+#: Files about which a question asks the file system one by one.
+DRIFT_CAP = 1000
 FILE_COLUMNS = "file string, module string, mtime timestamp, length long, sha string, parse_ok boolean, profile string"
 
 
@@ -145,6 +147,31 @@ class FactStore:
         current = F.create_map(*(F.lit(int(x)) for pair in meta["previous" if self.before else "versions"].items() for x in pair))
         return self.spark.read.schema(shape).parquet(f"{self.path}/facts").where(F.col("version") == current[F.col("bucket")])
 
+    # -- tables made from the facts --------------------------------------------------------------------------------
+    def keeps(self) -> bool:
+        """Whether tables made from the facts can stay beside them: of the current version only."""
+        return not self.before and self.meta() is not None
+
+    def derived(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The table ``name`` of the current version of the facts: read where it is, else made and written. A write that
+        broke off has no success mark and is made again."""
+        path = f"{self.path}/derived/{self.meta()['version']}/{name}"
+        system, where = self._hadoop(f"{path}/_SUCCESS")
+        if not system.exists(where):
+            make().write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def by_name(self, table: str) -> DataFrame:
+        """A fact table sorted by ``name`` over files, so that a question about one name reads few row groups."""
+        if not self.keeps():
+            return self.table(table)
+        return self.derived(f"by-name/{table}", lambda: self.table(table).repartitionByRange("name").sortWithinPartitions("name", "file", "line"))
+
+    def state(self) -> dict:
+        """What the store knows of itself: version, configuration and profiles."""
+        meta = self.meta() or {}
+        return {"version": meta.get("version"), "fingerprint": meta.get("fingerprint"), "profiles": {r["profile"]: r["n"] for r in self.by_profile().collect()}}
+
     # -- writing --------------------------------------------------------------------------------------------------
     def _write(self, rows: DataFrame, version: int) -> None:
         bucket = F.pmod(F.xxhash64("file"), F.lit(BUCKETS)).cast("int")
@@ -170,6 +197,20 @@ class FactStore:
             scope = scope | within(F.col("file"), path)
         return drift(known.where(scope), found, "file", ["mtime", "length", "profile"])
 
+    def drift_check(self, config: AnalysisConfig, files: list[str], cap: int = DRIFT_CAP) -> list[str] | None:
+        """Which of some files differ from the store: changed, gone from the tree, or not in the index (where the tree
+        has them). None above ``cap`` files: then ``drift`` compares everything at once."""
+        wanted = list(dict.fromkeys(f.replace("\\", "/") for f in files if f))
+        if len(wanted) > cap:
+            return None
+        if not wanted:
+            return []
+        system, base = fs.FileSystem.from_uri(config.root if "://" in config.root else os.path.abspath(config.root))
+        found = system.get_file_info([f"{base.rstrip('/')}/{f}" for f in wanted])
+        disk = {f: int((x.mtime_ns or 0) // 1000) for f, x in zip(wanted, found, strict=True) if x.type == fs.FileType.File}
+        known = {r["file"]: r["at"] for r in self.files().where(F.col("file").isin(wanted)).select("file", F.unix_micros("mtime").alias("at")).collect()}
+        return [f for f in wanted if disk.get(f) != known.get(f)]
+
     def refresh(self, config: AnalysisConfig, mode: str = "auto") -> dict:
         """Bring the store up to date. ``auto`` scans what changed, ``check`` only counts it, ``off`` looks at nothing."""
         meta = self.meta()
@@ -206,6 +247,11 @@ class FactStore:
         """Delete versions of buckets that no reader of the current version uses."""
         meta = {k: v for k, v in self.meta().items() if k != "previous"}
         self._publish(meta)
+        system, where = self._hadoop(f"{self.path}/derived")
+        if system.exists(where):
+            for entry in system.listStatus(where):
+                if entry.getPath().getName() != str(meta["version"]):
+                    system.delete(entry.getPath(), True)
         for row in self.spark.read.parquet(f"{self.path}/facts").select("bucket", "version").distinct().collect():
             if meta["versions"][str(row["bucket"])] != row["version"]:
                 system, where = self._hadoop(f"{self.path}/facts/bucket={row['bucket']}/version={row['version']}")
@@ -229,3 +275,30 @@ class FactStore:
 
     def by_profile(self) -> DataFrame:
         return self.files().groupBy("profile").agg(F.count("*").alias("n"))
+
+
+class FrameStore(FactStore):
+    """Facts given as DataFrames (``tables`` by name, ``file`` and the columns of ``schema.FACTS``), for facts that
+    another system keeps; tables that are not given are empty. ``files`` has the columns of ``FactStore.files``."""
+
+    def __init__(self, spark: SparkSession, files: DataFrame, tables: dict[str, DataFrame]):
+        super().__init__(spark, "")
+        self._files, self._tables = files, tables
+
+    def previous(self) -> FactStore | None:
+        return None
+
+    def meta(self) -> dict | None:
+        return None
+
+    def keeps(self) -> bool:
+        return False
+
+    def files(self) -> DataFrame:
+        return self._files
+
+    def table(self, name: str) -> DataFrame:
+        columns = {"file": "string", **FACTS[name]}
+        if name not in self._tables:
+            return self.spark.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in columns.items()))
+        return self._tables[name].select(*(F.col(c).cast(t).alias(c) for c, t in columns.items()))

@@ -1,32 +1,62 @@
-"""Diffs, changed functions and closures; the layer kernel against a plain search on random graphs."""
+"""Diffs, changed functions and closures over a made-up bakery; the layer kernel against a plain search."""
 
+import os
 import random
 import time
 from collections import defaultdict
 
 import pytest
-from test_code_facts import told, write
+from test_code_facts import line_of, told, write
 
+from navgraph.cli import main
 from navgraph.config import AnalysisConfig
-from navgraph.impact import Impact, hunks
+from navgraph.impact import Impact, changes_of, hunks
 from navgraph.navigation import Navigator
 from navgraph.operators import graph, tables
 from navgraph.sources.store import FactStore
 
-CRATE = "class Chest(object):\n    def Ignite(self):\n        step()\n\n    def Other(self):\n        pass\n"
-FILES = {
-    "m/chest.py": CRATE,
-    "m/steps.py": "def step():\n    pass\n\n\ndef gone():\n    pass\n",
-    "m/use.py": "from m.chest import Chest\nfrom m.steps import gone\n\nLIMIT = 3\n\n\ndef outer():\n    c = Chest()\n    c.Ignite()\n\n\ndef top():\n    outer()\n    gone()\n",
-}
+OVEN = """HEAT = 220
+
+
+def knead(dough):
+    return dough * 2
+
+
+def rest(dough):
+    return dough
+
+
+class Oven:
+    door = 'shut'
+
+    def bake(self, dough):
+        return knead(dough)
+
+    def clean(self):
+        return None
+"""
+SHOP = """from bakery.oven import Oven, rest
+import bakery.oven
+
+
+def morning():
+    oven = Oven()
+    oven.bake(1)
+
+
+def opening():
+    morning()
+    rest(2)
+"""
+TREE = {"bakery/__init__.py": "", "bakery/oven.py": OVEN, "shop/day.py": SHOP}
 
 
 @pytest.fixture(scope="module")
 def impact(spark, tmp_path_factory):
-    root = str(tmp_path_factory.mktemp("impact"))
-    write(root, FILES)
+    root = str(tmp_path_factory.mktemp("bakery"))
+    write(root, TREE)
     config = AnalysisConfig(root)
-    store = FactStore(spark, str(tmp_path_factory.mktemp("impact-store")) + "/f")
+    store = FactStore(spark, str(tmp_path_factory.mktemp("bakery-store")) + "/f")
     store.build(config)
     return Impact(Navigator(store, config))
 
@@ -35,50 +65,93 @@ def change(spark, *rows):
     return spark.createDataFrame(list(rows), "file string, diff string, old_text string")
 
 
-def test_hunks(spark):
-    diff = "--- a\n+++ b\n@@ -2,1 +2,3 @@ def f\n x\n@@ -9 +10,0 @@\n-y\n@@ -20,0 +21 @@\n+z"
-    assert told(hunks(change(spark, ("f", diff, None))), "side", "first", "last") == [("new", 2, 4), ("new", 21, 21), ("old", 2, 2), ("old", 9, 9)]
+def at(first, last=None):
+    """A hunk that replaces these lines by as many."""
+    n = (last or first) - first + 1
+    return f"@@ -{first},{n} +{first},{n} @@"
+
+
+def test_hunk_headers(spark):
+    diff = "@@ -7 +8,4 @@ class A:\n+x\n@@ -30,5 +33,0 @@\n-y\n not @@ -1 +1 @@\n@@ -50,0 +49 @@"
+    assert told(hunks(change(spark, ("f", diff, None))), "side", "first", "last") == [("new", 49, 49), ("new", 8, 11), ("old", 30, 34), ("old", 7, 7)]
 
 
-def test_changed_functions(spark, impact):
-    body = change(spark, ("m/chest.py", "@@ -3,1 +3,1 @@", CRATE))
-    assert told(impact.changed_functions(body), "name", "state") == [("Ignite", "changed")]
-    header = change(spark, ("m/chest.py", "@@ -1,1 +1,1 @@", CRATE))
-    assert told(impact.changed_functions(header), "name") == [("Ignite",), ("Other",)]
-    whole = change(spark, ("m/steps.py", None, None))
-    assert told(impact.changed_functions(whole), "name") == [("gone",), ("step",)]
-    deleted = change(spark, ("m/steps.py", "@@ -5,2 +4,0 @@", "def step():\n    pass\n\n\ndef removed():\n    pass\n"))
-    assert told(impact.changed_functions(deleted), "name", "state") == [("removed", "deleted")]
-    assert told(impact.changed_statements(change(spark, ("m/use.py", "@@ -4 +4 @@", None))), "kind") == [("assign",)]
+def test_what_a_diff_changes(spark, impact):
+    changed = lambda *diff, old=OVEN: told(impact.changed_functions(change(spark, ("bakery/oven.py", "\n".join(diff), old))), "name", "state")
+    assert changed(at(line_of(OVEN, "return knead"))) == [("bake", "changed")]
+    assert changed(at(line_of(OVEN, "door"))) == [("bake", "changed"), ("clean", "changed")]  # the class's own lines
+    assert changed(at(line_of(OVEN, "return dough * 2"), line_of(OVEN, "def rest"))) == [("knead", "changed"), ("rest", "changed")]
+    older = OVEN + "\n    def burn(self):\n        pass\n"
+    assert changed(f"@@ -{line_of(older, 'burn') - 1},3 +{len(OVEN.splitlines())},0 @@", old=older) == [("burn", "deleted")]
+    assert told(impact.changed_functions(change(spark, ("shop/day.py", None, None))), "name") == [("morning",), ("opening",)]
+    assert told(impact.changed_statements(change(spark, ("bakery/oven.py", at(1), None))), "kind") == [("assign",)]
 
 
-def test_closure_layers(spark, impact):
-    items, cut = impact.closure(change(spark, ("m/steps.py", "@@ -1,2 +1,2 @@", None)), depth=0)
-    assert not cut
-    assert told(items, "layer", "target", "caller", "via") == [(1, "step", "Chest.Ignite", "call"), (2, "Chest.Ignite", "outer", "call"), (3, "outer", "top", "call")]
-    shallow, _ = impact.closure(change(spark, ("m/steps.py", "@@ -1,2 +1,2 @@", None)), depth=1)
-    assert shallow.count() == 1
-    few, cut = impact.closure(change(spark, ("m/steps.py", "@@ -1,2 +1,2 @@", None)), depth=0, max_edges=2)
-    assert cut and few.count() == 2
-    assert told(Impact.summary(items), "layer", "n") == [(1, 1), (2, 1), (3, 1)]
-    first = Impact.page(items, limit=2).collect()
-    assert len(first) == 2 and first[0]["total"] == 3 and first[0]["has_more"] and first[0]["next_offset"] == 2
-    assert told(impact.importers(change(spark, ("m/chest.py", None, None))), "file") == [("m/use.py",)]
+def test_layers_of_callers(spark, impact):
+    kneading = change(spark, ("bakery/oven.py", at(line_of(OVEN, "return dough * 2")), None))
+    items, cut = impact.closure(kneading, depth=0)
+    assert not cut and told(items, "layer", "target", "caller", "via") == [(1, "knead", "Oven.bake", "call"), (2, "Oven.bake", "morning", "call"), (3, "morning", "opening", "call")]
+    assert impact.closure(kneading, depth=2)[0].count() == 2
+    few, cut = impact.closure(kneading, depth=0, max_edges=1)
+    assert cut and told(few, "layer") == [(1,)]
+    assert told(Impact.summary(items), "layer", "n", "callers") == [(1, 1, 1), (2, 1, 1), (3, 1, 1)]
+    page = Impact.page(items, limit=1, offset=1).collect()
+    assert [(r.layer, r.total, r.has_more, r.next_offset) for r in page] == [(2, 3, True, 2)]
 
 
-def test_deleted_function_keeps_its_callers(spark, tmp_path):
+def test_importers_of_files_there_and_gone(spark, tmp_path):
     root = str(tmp_path / "r")
-    write(root, FILES)
+    write(root, TREE | {"shop/night.py": "from bakery import oven\n", "shop/else.py": "import bakeryware\nfrom bakery.ovens import x\n"})
     config, store = AnalysisConfig(root), FactStore(spark, str(tmp_path / "s"))
     store.build(config)
-    time.sleep(0.05)
-    write(root, {"m/steps.py": "def step():\n    pass\n"})
+    gone = change(spark, ("bakery/oven.py", None, None))
+    expected = [("shop/day.py",), ("shop/night.py",)]
+    assert told(Impact(Navigator(store, config)).importers(gone), "file") == expected
+    os.remove(f"{root}/bakery/oven.py")
     store.refresh(config)
-    items, _ = Impact(Navigator(store, config)).closure(change(spark, ("m/steps.py", "@@ -5,2 +4,0 @@", FILES["m/steps.py"])))
-    assert told(items, "target", "caller", "via") == [("gone", "top", "snapshot")]
+    assert told(Impact(Navigator(store, config)).importers(gone), "file") == expected
 
 
-@pytest.mark.parametrize("seed", range(4))
+def test_callers_of_deleted_functions_come_from_before(spark, tmp_path):
+    root = str(tmp_path / "r")
+    write(root, TREE)
+    config, store = AnalysisConfig(root), FactStore(spark, str(tmp_path / "s"))
+    store.build(config)
+    time.sleep(0.05)
+    first = line_of(OVEN, "def rest")
+    write(root, {"bakery/oven.py": OVEN.replace("def rest(dough):\n    return dough\n\n\n", "")})
+    store.refresh(config)
+    items, _ = Impact(Navigator(store, config)).closure(change(spark, ("bakery/oven.py", f"@@ -{first},4 +{first - 1},0 @@", OVEN)))
+    assert told(items, "target", "caller", "via") == [("rest", "opening", "snapshot")]
+
+
+DIFF = f"""diff --git a/bakery/oven.py b/bakery/oven.py
+index 1..2 100644
+--- a/bakery/oven.py
++++ b/bakery/oven.py
+@@ -{line_of(OVEN, "return dough * 2")} +{line_of(OVEN, "return dough * 2")} @@ def knead(dough):
+-    return dough * 3
++    return dough * 2
+diff --git a/shop/old.py b/shop/old.py
+--- a/shop/old.py
++++ /dev/null
+@@ -1,2 +0,0 @@
+-def leave():
+-    pass
+"""
+
+
+def test_diffs_as_version_control_prints_them(spark, impact, tmp_path, capsys):
+    write(str(tmp_path), {"shop/old.py": "def leave():\n    pass\n", "d.diff": DIFF})
+    changes = changes_of(spark, DIFF, str(tmp_path))
+    assert told(changes, "file", "old_text") == [("bakery/oven.py", None), ("shop/old.py", "def leave():\n    pass\n")]
+    assert told(impact.changed_functions(changes), "file", "name", "state") == [("bakery/oven.py", "knead", "changed"), ("shop/old.py", "leave", "deleted")]
+    nav = impact.nav
+    assert main(["blast-radius", "--diff", f"{tmp_path}/d.diff", "--mode", "summary", "--root", nav.config.root, "--store", nav.store.path, "--refresh", "off"]) == 0
+    assert capsys.readouterr().out.splitlines() == ["1\t1\t1", "2\t1\t1", "3\t1\t1"]
+
+
+@pytest.mark.parametrize("seed", range(3))
 def test_layers_on_random_graphs(spark, seed):
     rng = random.Random(seed)
     n = rng.randint(5, 40)
@@ -95,6 +168,11 @@ def test_layers_on_random_graphs(spark, seed):
     assert {r.node: r.layer for r in found.collect()} == expected
 
 
+def test_pairs_on_a_long_chain(spark):
+    found = graph.reachable_pairs(spark.createDataFrame([(k, k + 1) for k in range(36)], "src int, dst int"))
+    assert found.count() == 37 * 38 // 2
+
+
 def test_page_limits(spark):
     with pytest.raises(ValueError):
         tables.page(spark.range(5), ["id"], 0, 201)

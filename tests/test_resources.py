@@ -96,7 +96,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["build", "--root", root, "--store", store]) == 0
     assert json.loads(capsys.readouterr().out)["files"] == 1
     assert main(["defs", "hi", "--root", root, "--store", store, "--json"]) == 0
-    assert json.loads(capsys.readouterr().out)["symbol"] == "Hello.hi"
+    told = json.loads(capsys.readouterr().out)
+    assert told["items"][0]["symbol"] == "Hello.hi" and told["coverage"]["status"] == "complete" and told["index"]["version"] == 1
     assert main(["blast-radius", "src/demo.py", "--mode", "summary", "--root", root, "--store", store]) == 0
 
 

@@ -64,21 +64,11 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K6: distinct edges out of a scope, the sources below 5 as in its SQL; ``deps_all`` has every edge."""
-    return deps_all(spark, sf_dir).where(F.col("src") < 5)
-
-
-def deps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K6: all distinct edges."""
     return _edges(spark, sf_dir).distinct()
 
 
 def importers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K6: ``importers_all`` of a scope, the targets below 50 as in its SQL."""
-    return importers_all(spark, sf_dir).where(F.col("dst") < 50)
-
-
-def importers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K6: distinct sources of edges into every target, with the hub flag of at least ten sources."""
     return graph.in_degree(_edges(spark, sf_dir), "src", "dst").select("dst", "n", (F.col("n") >= 10).alias("hub"))
 
@@ -153,11 +143,9 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runtime_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K4: all hosts above each supplier, itself included, by a closure upwards."""
-    up = _tree(spark, sf_dir).select(F.col("node").alias("src"), F.col("parent").alias("dst"))
-    hosts = up.where(~F.col("src").startswith("c"))
-    pairs = graph.reachable_pairs(hosts)
-    return pairs.where(F.col("origin").startswith("s")).select(F.col("origin").alias("node"), F.col("node").alias("host"))
+    """K4: all hosts above every node, itself included, by a closure upwards."""
+    pairs = graph.reachable_pairs(_tree(spark, sf_dir).select(F.col("node").alias("src"), F.col("parent").alias("dst")))
+    return pairs.select(F.col("origin").alias("node"), F.col("node").alias("host"))
 
 
 def subclass_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,9 +217,8 @@ def coverage_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tree_descend_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K13: for each region the customers below it that a skipping path of names reaches, graded by their number."""
-    tree = _tree(spark, sf_dir)
-    up = tree.where(~F.col("node").startswith("s"))
-    pairs = graph.reachable_pairs(up.select(F.col("node").alias("src"), F.col("parent").alias("dst")), max_depth=4)
+    up = tree = _tree(spark, sf_dir)
+    pairs = graph.reachable_pairs(up.select(F.col("node").alias("src"), F.col("parent").alias("dst")))
     closure = pairs.where("origin <> node").select(F.col("node").alias("anc"), F.col("origin").alias("node"))
     names = up.select("node", F.col("node").alias("name"))
     roots = tree.where("parent = 'world'").select(F.col("node").alias("root"), "node")
@@ -248,7 +235,7 @@ def page_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        token_index, usages_token, downsample_first, line_definitions, callers_graded, callees_graded, deps, deps_all, importers, importers_all, hubs,
+        token_index, usages_token, downsample_first, line_definitions, callers_graded, callees_graded, deps, importers, hubs,
         percentile_hub_flag, external_rank, tree_rollup, find_path, class_rank_pick, runtime_hosts, subclass_closure,
         impact_layers, pubsub_pairs, rpc_pairs, asof_assignment, hunk_overlap, drift_set, coverage_contract,
         tree_descend_grade, page_projection,
@@ -284,10 +271,8 @@ ORACLES: dict[str, str] = {
     "callees_graded": """
         SELECT l_suppkey, CASE p_type WHEN 'STANDARD' THEN 'VERIFIED' WHEN 'PROMO' THEN 'FRAMEWORK-INFERRED' ELSE 'CANDIDATE' END AS level, count(*) AS n
         FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN part ON p_partkey = l_partkey WHERE p_type <> 'ECONOMY' GROUP BY 1, 2""",
-    "deps": "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey < 5",
-    "deps_all": "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem",
-    "importers": "SELECT l_partkey AS dst, count(DISTINCT l_suppkey) AS n, count(DISTINCT l_suppkey) >= 10 AS hub FROM lineitem WHERE l_partkey < 50 GROUP BY 1",
-    "importers_all": "SELECT l_partkey AS dst, count(DISTINCT l_suppkey) AS n, count(DISTINCT l_suppkey) >= 10 AS hub FROM lineitem GROUP BY 1",
+    "deps": "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem",
+    "importers": "SELECT l_partkey AS dst, count(DISTINCT l_suppkey) AS n, count(DISTINCT l_suppkey) >= 10 AS hub FROM lineitem GROUP BY 1",
     "hubs": "SELECT l_partkey AS dst, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, dst LIMIT 25",
     "percentile_hub_flag": """
         WITH d AS (SELECT count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_partkey),
@@ -309,7 +294,7 @@ ORACLES: dict[str, str] = {
           FROM customer JOIN nation a ON a.n_nationkey = c_nationkey, supplier JOIN nation b ON b.n_nationkey = s_nationkey) WHERE k = 1""",
     "runtime_hosts": f"""
         WITH RECURSIVE {_TREE}, up(node, host) AS (
-          SELECT node, node FROM tree WHERE node LIKE 's%' UNION SELECT up.node, tree.parent FROM up JOIN tree ON tree.node = up.host)
+          SELECT node, node FROM tree UNION SELECT 'world', 'world' UNION SELECT up.node, tree.parent FROM up JOIN tree ON tree.node = up.host)
         SELECT node, host FROM up""",
     "subclass_closure": f"""
         WITH RECURSIVE {_TREE}, down(node, layer) AS (

@@ -100,4 +100,44 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(f.k) AS n_dropped,
                sha256(coalesce(string_agg(CASE WHEN f.k IS NULL THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
         FROM keyed LEFT JOIN frequent f ON f.k = keyed.k GROUP BY doc_id""",
+    "op5_quality_rules": r"""
+        WITH texts AS (
+          SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        sizes AS (
+          SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+                 length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM texts),
+        spots AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM texts),
+        ahead AS (
+          SELECT doc_id, pos, concat_ws(' ', word, lead(word, 1) OVER w, lead(word, 2) OVER w, lead(word, 3) OVER w, lead(word, 4) OVER w) AS five,
+                 lead(word, 4) OVER w AS w4, lead(word, 5) OVER w AS w5, lead(word, 6) OVER w AS w6, lead(word, 7) OVER w AS w7, lead(word, 8) OVER w AS w8, lead(word, 9) OVER w AS w9
+          FROM spots WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+        windows AS (
+          SELECT doc_id, 5 AS n, pos, five AS key FROM ahead WHERE w4 IS NOT NULL
+          UNION ALL SELECT doc_id, 6, pos, concat_ws(' ', five, w5) FROM ahead WHERE w5 IS NOT NULL
+          UNION ALL SELECT doc_id, 7, pos, concat_ws(' ', five, w5, w6) FROM ahead WHERE w6 IS NOT NULL
+          UNION ALL SELECT doc_id, 8, pos, concat_ws(' ', five, w5, w6, w7) FROM ahead WHERE w7 IS NOT NULL
+          UNION ALL SELECT doc_id, 9, pos, concat_ws(' ', five, w5, w6, w7, w8) FROM ahead WHERE w8 IS NOT NULL
+          UNION ALL SELECT doc_id, 10, pos, concat_ws(' ', five, w5, w6, w7, w8, w9) FROM ahead WHERE w9 IS NOT NULL),
+        twice AS (SELECT doc_id, n, unnest(list(pos)) AS pos FROM windows GROUP BY doc_id, n, key HAVING count(*) > 1),
+        inside AS (SELECT DISTINCT doc_id, n, unnest(range(pos, pos + n)) AS pos FROM twice),
+        covered AS (
+          SELECT i.doc_id, n, count(*) AS n_inside, sum(length(word)) AS chars FROM inside i JOIN spots s ON s.doc_id = i.doc_id AND s.pos = i.pos GROUP BY ALL),
+        repeats AS (
+          SELECT c.doc_id, coalesce(max(n_inside) FILTER (n = 5), 0) AS n_repeat_words, max(chars) AS most,
+                 bool_or(chars > (CASE n WHEN 5 THEN 0.15 WHEN 6 THEN 0.14 WHEN 7 THEN 0.13 WHEN 8 THEN 0.12 WHEN 9 THEN 0.11 ELSE 0.10 END)::DOUBLE * greatest(word_chars, 1)) AS over_limit
+          FROM covered c JOIN sizes s ON s.doc_id = c.doc_id GROUP BY c.doc_id),
+        lines AS (
+          SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM texts),
+        again AS (
+          SELECT doc_id, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS k
+          FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+        dups AS (SELECT doc_id, count(*) AS n_dup_lines, sum(chars) AS chars FROM again WHERE k > 1 GROUP BY doc_id),
+        told AS (
+          SELECT s.*, coalesce(d.n_dup_lines, 0) AS n_dup_lines, coalesce(d.chars, 0) AS dup_chars, coalesce(r.n_repeat_words, 0) AS n_repeat_words,
+                 coalesce(r.most, 0) AS most, coalesce(r.over_limit, false) AS over_limit, greatest(word_chars, 1) AS whole,
+                 n_words < 10 OR 100 * coalesce(r.n_repeat_words, 0) > 20 * n_words AS base_failed
+          FROM sizes s LEFT JOIN dups d ON d.doc_id = s.doc_id LEFT JOIN repeats r ON r.doc_id = s.doc_id)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT over_limit AND dup_chars <= 0.2::DOUBLE * whole AND n_symbols <= 0.3::DOUBLE * greatest(n_words, 1) AS kept,
+               most / whole AS ngram_cover, dup_chars / whole AS line_cover FROM told""",
 }

@@ -1,13 +1,13 @@
-"""The pipeline against the stages' brute-force versions, one after the other."""
+"""The pipeline against the stages' brute-force versions, one after the other; those use nothing of the library."""
 
 import hashlib
+import re
 
-from test_dedup import brute_components, brute_lines
+from test_dedup import brute_components, brute_kept, brute_lines
 from test_scoring import distance
 from test_tokens import check_places, expected_pieces
 
 import corpus_pipeline
-from navgraph.llm import decontaminate, quality_rules
 
 
 def brute_clean_text(rows, min_docs=10):
@@ -22,18 +22,22 @@ def brute_clean_text(rows, min_docs=10):
 
 
 def brute(rows, items):
-    rules = quality_rules.RepetitionLimits()
-    rows = [(d, t) for d, t in rows if quality_rules.measure((t or "").encode(), rules)[6]]
+    rows = [(d, t) for d, t in rows if brute_kept(t)]
     rows = brute_clean_text(rows)
     keep = {d for d, _, c in brute_components(rows) if d == c}
     rows = [(d, t) for d, t in rows if d in keep]
-    norm = [decontaminate.normal(t) for t in items]
-    norm = [x for x in norm if len(x) >= 24]
+    plain = lambda text: " ".join(re.findall(r"[^\W_]+", text.lower()))
+    norm = [x for x in map(plain, items) if len(x) >= 24]
 
     def leaks(text):
-        body = decontaminate.normal(text)
-        # a cheap necessary condition first: one of the pieces stands in the text
-        return any(any(p in body for _, p in decontaminate.pieces(x, int(len(x) * 0.10) + 1)) and distance(x, body) <= int(len(x) * 0.10) for x in norm)
+        body = plain(text)
+        for x in norm:
+            most = int(len(x) * 0.10)
+            cut = [len(x) * k // (most + 1) for k in range(most + 2)]
+            # a necessary condition first: one of the pieces that the edits leave whole stands in the text
+            if any(x[a:b] in body for a, b in zip(cut, cut[1:], strict=False)) and distance(x, body) <= most:
+                return True
+        return False
 
     return [(d, t) for d, t in rows if not leaks(t)]
 

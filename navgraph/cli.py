@@ -6,7 +6,7 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from navgraph.config import load_config
 from navgraph.impact import Impact, changes_of
@@ -131,18 +131,22 @@ def show(told: Answer, as_json: bool) -> None:
         print(f"coverage: {told.coverage}" + (f"; note: {told.note}" if told.note else ""), file=sys.stderr)
 
 
-def main(argv: list[str] | None = None) -> int:
-    args = parser().parse_args(argv)
-    spark = session()
+def run(args: argparse.Namespace, spark: SparkSession) -> Answer | dict:
+    """What a command gives: figures of a build or refresh, or an answer."""
     config, store = load_config(args.root, args.custom, targets=args.targets), FactStore(spark, args.store)
     if args.command == "build":
-        print(json.dumps(store.build(config)))
-        return 0
+        return store.build(config)
     told = store.refresh(config, args.refresh) if args.command != "drift" else {}
-    if args.command == "refresh":
+    return told if args.command == "refresh" else answer(args, Navigator(store, config), told)
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = parser().parse_args(argv)
+    told = run(args, session())
+    if isinstance(told, dict):
         print(json.dumps(told))
-        return 0
-    show(answer(args, Navigator(store, config), told), args.json)
+    else:
+        show(told, args.json)
     return 0
 
 

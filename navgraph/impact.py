@@ -149,10 +149,23 @@ class Impact:
         defs = store.table("defs").select(F.col("file").alias("t_file"), F.col("cls").alias("t_cls"), F.col("name").alias("method"))
         sent = self.nav.enclosing(store.table("rpc").select("file", "line", "method", "stub")).join(defs, "method").where("t_cls IS NULL OR stub IS NULL OR stub = t_cls")
         remote = rows(sent, ("t_file", "t_cls", "method"), ("file", "e_cls", "e_func"), "line", "rpc")
-        one = store.table("pubsub").where("func IS NOT NULL")
-        other = one.select("event", F.when(F.col("side") == "publish", "listen").otherwise("publish").alias("side"), F.col("file").alias("t_file"), F.col("cls").alias("t_cls"), F.col("func").alias("t_func"))
-        events = rows(one.join(other, ["event", "side"]), ("t_file", "t_cls", "t_func"), ("file", "cls", "func"), "line", "pubsub")
-        return direct.unionByName(back).unionByName(remote).unionByName(events).where("caller_key IS NULL OR caller_key <> to").distinct()
+        return direct.unionByName(back).unionByName(remote).where("caller_key IS NULL OR caller_key <> to").distinct()
+
+    def event_sides(self) -> DataFrame:
+        """``event, side, key, name, file, line`` of every function that sends or hears an event."""
+        rows = self.nav.store.table("pubsub").where("func IS NOT NULL")
+        return rows.select("event", "side", node(F.col("file"), F.col("cls"), F.col("func")).alias("key"), display_name(F.col("cls"), F.col("func")).alias("name"), "file", "line").distinct()
+
+    def reached(self, frontier: DataFrame) -> DataFrame:
+        """Edges into the functions of ``frontier`` (``key``). Both sides of an event reach each other; they meet at the
+        events of the frontier, so pairs of all senders and hearers are never written out."""
+        shape = ("to", "target", "caller_key", "caller", "caller_file", "caller_line", "via")
+        direct = self.edges().join(frontier.withColumnRenamed("key", "to"), "to").select(*shape)
+        sides = self.event_sides()
+        other = F.when(F.col("side") == "publish", "listen").otherwise("publish")
+        here = sides.join(frontier, "key").select("event", other.alias("side"), F.col("key").alias("to"), F.col("name").alias("target")).distinct()
+        there = sides.select("event", "side", F.col("key").alias("caller_key"), F.col("name").alias("caller"), F.col("file").alias("caller_file"), F.col("line").alias("caller_line"), F.lit("pubsub").alias("via"))
+        return direct.unionByName(here.join(there, ["event", "side"]).where("caller_key <> to").select(*shape)).distinct()
 
     # -- closure --------------------------------------------------------------------------------------------------
     def closure(self, changes: DataFrame, depth: int = 3, max_edges: int = MAX_EDGES) -> tuple[DataFrame, bool]:
@@ -162,7 +175,6 @@ class Impact:
         functions before (``via`` is ``snapshot``); then each layer's callers. A cut keeps whole layers in order.
         """
         depth = depth or NO_LIMIT
-        edges = self.edges()
         changed = checkpointed(self.changed_functions(changes))
         columns = ["layer", "target", "caller", "caller_file", "caller_line", "via", "caller_key"]
         met = checkpointed(changed.where("state = 'changed'").select(node(F.col("file"), F.col("cls"), F.col("name")).alias("key")).distinct())
@@ -174,7 +186,7 @@ class Impact:
         total = items.count()
         while layer < depth:
             layer += 1
-            hit = edges.join(frontier.withColumnRenamed("key", "to"), "to").withColumn("layer", F.lit(layer)).select(*columns).distinct()
+            hit = self.reached(frontier).withColumn("layer", F.lit(layer)).select(*columns).distinct()
             hit = checkpointed(hit)
             n = hit.count()
             if not n and layer > 1:

@@ -1,5 +1,6 @@
 """Resource grading on a small tree, the command line, and the streamed index."""
 
+import io
 import json
 
 import pytest
@@ -10,7 +11,8 @@ from navgraph.config import AnalysisConfig
 from navgraph.hooks import FactHooks
 from navgraph.navigation import Navigator
 from navgraph.operators.index import token_index
-from navgraph.resources import Resources
+from navgraph.resources import LEVELS, Resources
+from navgraph.server import caller, serve
 from navgraph.sources.extract import dotted
 from navgraph.sources.store import FactStore
 from navgraph.streaming.token_stream import start_index
@@ -101,6 +103,34 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["blast-radius", "src/demo.py", "--mode", "summary", "--root", root, "--store", store]) == 0
 
 
+def test_server(spark, tmp_path):
+    root, store = str(tmp_path / "r"), str(tmp_path / "s")
+    write(root, {"src/demo.py": "class Hello(object):\n    def hi(self):\n        pass\n"})
+    messages = [
+        {"id": 1, "method": "initialize", "params": {}}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "ping"},
+        {"id": 4, "method": "tools/call", "params": {"name": "defs", "arguments": {"symbol": "hi"}}}, {"id": 5, "method": "tools/call", "params": {"name": "defs", "arguments": {}}},
+        {"id": 6, "method": "nothing"},
+    ]
+    out = io.StringIO()
+    serve([*map(json.dumps, messages), "{", ""], out, caller(spark, root, store, None))
+    replies = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [r["id"] for r in replies] == [1, 2, 3, 4, 5, 6, None]
+    assert {t["name"] for t in replies[1]["result"]["tools"]} == set(COMMANDS)
+    told = json.loads(replies[3]["result"]["content"][0]["text"])
+    assert [i["symbol"] for i in told["items"]] == ["Hello.hi"] and told["coverage"]["status"] == "complete" and not replies[3]["result"]["isError"]
+    assert replies[4]["result"]["isError"] and replies[5]["error"]["code"] == -32601 and replies[6]["error"]["code"] == -32700
+
+
+def test_resource_views_on_the_command_line(spark, resources, tmp_path, capsys):
+    resources.nodes.write.parquet(str(tmp_path / "nodes"))
+    store = resources.nav.store
+    common = ["--root", resources.nav.config.root, "--store", store.path, "--refresh", "off", "--nodes", str(tmp_path / "nodes")]
+    assert main(["ui-refs", "file", "--name", "ui.py", *common]) == 0
+    assert "Lost\tnowhere\tRES-MISS" in capsys.readouterr().out.splitlines()
+    assert main(["ui-refs", "audit", *common, "--json"]) == 0
+    assert {i["level"]: i["n"] for i in json.loads(capsys.readouterr().out)["items"]} == dict.fromkeys(LEVELS, 0)
+
+
 def test_streamed_index(spark, tmp_path):
     docs, index = str(tmp_path / "docs"), str(tmp_path / "index")
     for k in range(2):

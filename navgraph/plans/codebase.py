@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from navgraph.config import AnalysisConfig
 from navgraph.impact import Impact
 from navgraph.navigation import Navigator
+from navgraph.resources import Resources
 from navgraph.sources.store import FrameStore
 
 TABLES = ("supplier", "nation", "part", "lineitem", "events")
@@ -78,7 +79,15 @@ BASE = """
       SELECT file, event_id AS line, CASE WHEN event_type = 'error' THEN 'listen' ELSE 'publish' END AS side,
              CASE event_id % 3 WHEN 0 THEN 'ui.' WHEN 1 THEN 'net.' ELSE '' END || 'k' || (event_id % 40) AS event,
              CASE WHEN event_id % 50 = 0 THEN 'on_' || (event_id % 40) END AS func
-      FROM {events} CROSS JOIN sizes JOIN files ON s = user_id % ns WHERE event_type IN ('error', 'view'))"""
+      FROM {events} CROSS JOIN sizes JOIN files ON s = user_id % ns WHERE event_type IN ('error', 'view')),
+    binds AS (SELECT file, line, name AS cls, 'ui' || (s % 5) AS key FROM classes WHERE b % 2 = 1),
+    nodes AS (
+      SELECT 'ui' || n_regionkey AS res_key, 'root' AS node_id, CAST(NULL AS VARCHAR(9)) AS parent_id, 'root' AS name, 'Panel' AS type FROM {nation} GROUP BY n_regionkey
+      UNION ALL SELECT 'ui' || n_regionkey, 'n' || n_nationkey, 'root', 'nat' || (n_nationkey % 3), 'List' FROM {nation}
+      UNION ALL SELECT 'ui' || n_regionkey, 's' || s_suppkey, 'n' || s_nationkey, 'sup' || (s_suppkey % 7), 'Item' FROM {supplier} JOIN {nation} ON n_nationkey = s_nationkey),
+    drawn AS (
+      SELECT file, line, cls, name AS func, k % 5 AS how, CASE k % 5 WHEN 0 THEN 'nat' || (k % 3) WHEN 1 THEN 'sup' || (k % 7) WHEN 2 THEN 'su' || CASE WHEN k % 2 = 0 THEN 'x' ELSE '' END ELSE 'zzz' END AS word
+      FROM funcs WHERE cls IS NOT NULL)"""
 
 #: How each fact table follows from ``BASE``: columns of ``schema.FACTS`` (what is left out is null).
 FRAMES = {
@@ -92,6 +101,7 @@ FRAMES = {
     "receiver_fact": "SELECT DISTINCT file, line, expr, type, 'likely' AS confidence, 'framework' AS reason FROM facts",
     "rpc": "SELECT file, line, chan, method, stub FROM remote",
     "rpc_handler": "SELECT file, line, chan, method, endpoint, confidence, 'decorator' AS reason FROM handlers",
+    "ui_binding": "SELECT file, line, 'bind' AS kind, key, CAST(NULL AS STRING) AS receiver, cls, CAST(NULL AS STRING) AS func FROM binds",
     "pubsub": "SELECT file, line, side, event, func, CAST(NULL AS STRING) AS cls FROM heard",
 }
 FILES = "SELECT file, module, TIMESTAMP '2024-01-01 00:00:00' AS mtime, length, 'x' AS sha, parse_ok, CASE WHEN s % 4 = 0 THEN 'semantic-only' ELSE 'full' END AS profile FROM files"
@@ -119,13 +129,27 @@ def navigator(spark: SparkSession, sf_dir: str) -> Navigator:
     return _navigator(spark.sparkContext.applicationId, sf_dir)
 
 
+def _facts(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spark.sql(f"WITH {BASE.format(**{t: f'parquet.`{sf_dir}/{t}.parquet`' for t in TABLES})} {sql}")
+
+
 def _part(spark: SparkSession, sf_dir: str, key: int = 1) -> tuple[str, str]:
     """File and name of the function of one part."""
-    paths = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
-    row = spark.sql(f"WITH {BASE.format(**paths)} SELECT file, name FROM funcs WHERE k = {key}").first()
+    row = _facts(spark, sf_dir, f"SELECT file, name FROM funcs WHERE k = {key}").first()
     return row["file"], row["name"]
 
 
+def _resources(spark: SparkSession, sf_dir: str) -> tuple[Resources, DataFrame]:
+    """Resource trees (regions, nations, suppliers) and code sites that name their nodes: a name, a path that skips
+    levels, a beginning, an absent name, a name unknown before run time."""
+    trees = _facts(spark, sf_dir, "SELECT * FROM nodes")
+    sites = _facts(spark, sf_dir, "SELECT * FROM drawn")
+    segments = F.when(F.col("how") == 1, F.array(F.lit("root"), "word")).otherwise(F.array("word"))
+    prefix = F.when(F.col("how") == 4, F.lit(None).cast("boolean")).otherwise(F.col("how") == 2)
+    empty = spark.createDataFrame([], "res_key string, timeline string")
+    return Resources(navigator(spark, sf_dir), trees, empty), sites.select("file", "line", "cls", "func", segments.alias("segments"), prefix.alias("prefix"))
+
+
 def code_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files, failed files and the contract word of the whole index."""
     return navigator(spark, sf_dir).store.coverage().select("files", "failed", "coverage")
@@ -230,11 +254,35 @@ def code_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Impact(nav).changed_functions(changes).where("cls IS NULL OR name LIKE '%\\_%'").select("file", "cls", "name", "state")
 
 
+def code_lost_importers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importers of a file that the index has and of one that it has lost, the latter by its module's name."""
+    changes = spark.createDataFrame([(f, None, None) for f in (_part(spark, sf_dir)[0], "ext_3.py")], "file string, diff string, old_text string")
+    return Impact(navigator(spark, sf_dir)).importers(changes)
+
+
+def code_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The project's folders, hubs, external modules, profiles, table sizes and coverage, in brief."""
+    return navigator(spark, sf_dir).context(compact=True)
+
+
+def code_ui_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every site that names a node of a resource tree, graded by what it hits in the trees its class is bound to."""
+    own, sites = _resources(spark, sf_dir)
+    return own.grade(sites).select("file", "line", "cls", "level", "n")
+
+
+def code_ui_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites and files by level."""
+    own, sites = _resources(spark, sf_dir)
+    return own.audit(sites).select("level", "n", "files")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         code_coverage, code_profiles, code_defs, code_usages, code_deps, code_importers, code_external, code_hubs, code_hub_degree, code_tree, code_find,
         code_file_context, code_methods, code_resolved, code_callers, code_callees, code_rpc_refs, code_pubsub_refs, code_blast, code_changed,
+        code_lost_importers, code_context, code_ui_grade, code_ui_audit,
     )
 }
 
@@ -264,6 +312,16 @@ _RESOLVED = """
         LEFT JOIN tops t ON t.file = c.file AND t.name = c.callee AND t.n = 1 WHERE kind = 0 AND coalesce(e.file, t.file) IS NOT NULL),
     target AS (SELECT defs.* FROM defs JOIN funcs f ON f.k = 1 AND defs.file = f.file AND defs.name = f.name ORDER BY defs.line LIMIT 1),
     evidence AS (SELECT file, line, expr, list(DISTINCT type) AS types FROM facts GROUP BY ALL)"""
+_GRADES = """
+    bound AS (SELECT DISTINCT up.cls, binds.key AS res_key FROM up JOIN binds ON binds.cls = up.anc),
+    hit AS (
+      SELECT d.file, d.line, count(*) AS n FROM drawn d JOIN bound ON bound.cls = d.cls JOIN nodes ON nodes.res_key = bound.res_key
+        AND CASE how WHEN 2 THEN starts_with(nodes.name, word) WHEN 4 THEN false ELSE nodes.name = word END GROUP BY ALL),
+    graded AS (
+      SELECT d.file, d.line, d.cls, coalesce(hit.n, 0) AS n,
+             CASE WHEN how = 4 THEN 'DYNAMIC' WHEN hit.n = 1 THEN 'EXACT' WHEN hit.n > 1 THEN 'MULTI' WHEN d.cls NOT IN (SELECT cls FROM bound) THEN 'UNBOUND'
+                  WHEN how = 2 THEN 'PATTERN' ELSE 'MISS' END AS level
+      FROM drawn d LEFT JOIN hit ON hit.file = d.file AND hit.line = d.line)"""
 _SHOWN = "coalesce(CASE WHEN {0} IS NULL THEN {1} ELSE {0} || coalesce('.' || {1}, '') END, '?')"
 
 
@@ -347,6 +405,19 @@ ORACLES: dict[str, str] = {
         reach1 AS (SELECT DISTINCT * FROM loose WHERE t IN (SELECT key FROM seeds)),
         ahead AS (SELECT DISTINCT key FROM reach1 WHERE key IS NOT NULL AND key NOT IN (SELECT key FROM seeds)),
         reach2 AS (SELECT DISTINCT * FROM loose WHERE t IN (SELECT key FROM ahead))"""),
+    "code_lost_importers": _sql("""SELECT src AS file, dst AS imports FROM edges WHERE dst = (SELECT file FROM funcs WHERE k = 1)
+        UNION SELECT file, 'ext_3.py' FROM imports WHERE module = 'ext_3'""", _EDGES),
+    "code_context": _sql("""
+        SELECT * FROM (SELECT 'folder' AS section, split_part(file, '/', 1) || '/' || split_part(file, '/', 2) AS name, count(*) AS n FROM files GROUP BY 2 ORDER BY n DESC, name LIMIT 15)
+        UNION ALL SELECT * FROM (SELECT 'hub', dst, n FROM degrees ORDER BY n DESC, dst LIMIT 10)
+        UNION ALL SELECT * FROM (SELECT 'external', module, count(*) AS n FROM known WHERE dst IS NULL GROUP BY module ORDER BY n DESC, module LIMIT 10)
+        UNION ALL SELECT 'profile', CASE WHEN s % 4 = 0 THEN 'semantic-only' ELSE 'full' END AS p, count(*) FROM files GROUP BY p
+        UNION ALL SELECT 'coverage', CASE WHEN bool_and(parse_ok) THEN 'complete' ELSE 'partial' END, count(*) FILTER (NOT parse_ok) FROM files
+        UNION ALL SELECT 'table', 'defs', count(*) FROM defs UNION ALL SELECT 'table', 'classes', count(*) FROM classes
+        UNION ALL SELECT 'table', 'imports', count(*) FROM imports UNION ALL SELECT 'table', 'call_site', count(*) FROM sites""", _EDGES),
+    "code_ui_grade": _sql("SELECT file, line, cls, level, n FROM graded", _RESOLVED, _GRADES),
+    "code_ui_audit": _sql("""SELECT l.level, count(g.file) AS n, count(DISTINCT g.file) AS files
+        FROM (SELECT unnest(['EXACT', 'MULTI', 'PATTERN', 'INDIRECT', 'UNBOUND', 'MISS', 'DYNAMIC']) AS level) l LEFT JOIN graded g ON g.level = l.level GROUP BY 1""", _RESOLVED, _GRADES),
     "code_changed": _sql("""
         SELECT DISTINCT d.file, d.cls, d.name, 'changed' AS state FROM defs d LEFT JOIN classes c ON c.file = d.file AND c.name = d.cls
         WHERE (d.line <= 26 AND d.end_line >= 15) OR (d.line <= 70 AND d.end_line >= 70)

@@ -7,7 +7,7 @@ import builtins
 import io
 import keyword
 import tokenize
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from navgraph.hooks import FactHooks, ScanPlace
 from navgraph.schema import FACTS
@@ -93,6 +93,18 @@ def is_data(text: str) -> bool:
     return not any(line.startswith(("class ", "def ", "async def ")) for line in text.split("\n"))
 
 
+def own_statements(node: ast.stmt) -> Iterator[ast.stmt]:
+    """A statement of a body and those inside its blocks (``if``, ``try``, loops, ``with``, ``match``), but not what
+    stands inside functions and classes."""
+    yield node
+    if not isinstance(node, (*FUNCTIONS, ast.ClassDef)):
+        for child in ast.iter_child_nodes(node):
+            inner = child.body if isinstance(child, ast.ExceptHandler | ast.match_case) else [child]
+            for x in inner:
+                if isinstance(x, ast.stmt):
+                    yield from own_statements(x)
+
+
 class FileScan(ast.NodeVisitor):
     """Walks one tree; ``rows`` collects tuples by table in the order of ``schema.FACTS``."""
 
@@ -162,10 +174,11 @@ class FileScan(ast.NodeVisitor):
         for x in node.body:
             if not nested:
                 place = self.place()
-                if fact := self.hooks.class_statement(x, place):
-                    self.add(fact[0], *fact[1])
-                for kind, source, target in self.hooks.callbacks(x, place):
-                    self.add("callback_raw", x.lineno, node.name, kind, source, target)
+                for part in own_statements(x):
+                    if fact := self.hooks.class_statement(part, place):
+                        self.add(fact[0], *fact[1])
+                    for kind, source, target in self.hooks.callbacks(part, place):
+                        self.add("callback_raw", part.lineno, node.name, kind, source, target)
             self.visit(x)
         self.scope.pop()
         self.cls, self.function = outer_class, outer_function

@@ -24,9 +24,11 @@ from navgraph.config import AnalysisConfig
 from navgraph.functions.paths import matches, module_of, within
 from navgraph.operators.tables import drift
 from navgraph.schema import FACTS, fact_arrow, fact_ddl
+from navgraph.shared import checkpointed
 from navgraph.sources.extract import scan
 
-BUCKETS = 64
+#: Least number of buckets, and files of a bucket beyond which a build makes more of them.
+BUCKETS, BUCKET_FILES = 64, 5_000
 #: Files about which a question asks the file system one by one.
 DRIFT_CAP = 1000
 FILE_COLUMNS = "file string, module string, mtime timestamp, length long, sha string, parse_ok boolean, profile string"
@@ -119,6 +121,7 @@ class FactStore:
 
     def __init__(self, spark: SparkSession, path: str, before: bool = False):
         self.spark, self.path, self.before = spark, path.rstrip("/"), before
+        self._read: tuple[str, DataFrame] | None = None  # facts as last read, and the versions that they were read by
 
     def previous(self) -> FactStore | None:
         """The facts as they were before the last refresh (until ``compact``); None if there was none."""
@@ -133,7 +136,13 @@ class FactStore:
         system, where = self._hadoop(f"{self.path}/current")
         if not system.exists(where):
             return None
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/current").collect()))
+        said = ""
+        for entry in system.listStatus(where):  # one small file; read without a job
+            if entry.getPath().getName().startswith("part-"):
+                stream = system.open(entry.getPath())
+                said += self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                stream.close()
+        return json.loads(said)
 
     def _publish(self, meta: dict) -> None:
         row = self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1)
@@ -143,9 +152,13 @@ class FactStore:
         meta = self.meta()
         if meta is None:
             raise FileNotFoundError(f"no facts in {self.path}")
-        shape = f"{FILE_COLUMNS}, {fact_ddl()}, bucket int, version int"
-        current = F.create_map(*(F.lit(int(x)) for pair in meta["previous" if self.before else "versions"].items() for x in pair))
-        return self.spark.read.schema(shape).parquet(f"{self.path}/facts").where(F.col("version") == current[F.col("bucket")])
+        versions = meta["previous" if self.before else "versions"]
+        key = json.dumps(versions, sort_keys=True)
+        if self._read is None or self._read[0] != key:  # files are listed once for a version
+            shape = f"{FILE_COLUMNS}, {fact_ddl()}, bucket int, version int"
+            current = F.create_map(*(F.lit(int(x)) for pair in versions.items() for x in pair))
+            self._read = key, self.spark.read.schema(shape).parquet(f"{self.path}/facts").where(F.col("version") == current[F.col("bucket")])
+        return self._read[1]
 
     # -- tables made from the facts --------------------------------------------------------------------------------
     def keeps(self) -> bool:
@@ -173,8 +186,8 @@ class FactStore:
         return {"version": meta.get("version"), "fingerprint": meta.get("fingerprint"), "profiles": {r["profile"]: r["n"] for r in self.by_profile().collect()}}
 
     # -- writing --------------------------------------------------------------------------------------------------
-    def _write(self, rows: DataFrame, version: int) -> None:
-        bucket = F.pmod(F.xxhash64("file"), F.lit(BUCKETS)).cast("int")
+    def _write(self, rows: DataFrame, version: int, buckets: int) -> None:
+        bucket = F.pmod(F.xxhash64("file"), F.lit(buckets)).cast("int")
         out = rows.withColumns({"module": module_of(F.col("file")), "bucket": bucket, "version": F.lit(version)})
         out = out.repartition("bucket").sortWithinPartitions("bucket", "file")
         out.write.mode("append").partitionBy("bucket", "version").parquet(f"{self.path}/facts")
@@ -183,8 +196,10 @@ class FactStore:
         """Scan everything in scope into a new version; older versions stay readable until ``compact``."""
         old = self.meta()
         version = old["version"] + 1 if old else 1
-        self._write(scan_files(source_files(self.spark, config), config), version)
-        meta = {"version": version, "versions": {str(b): version for b in range(BUCKETS)}, "fingerprint": config.fingerprint(), "targets": config.targets, "root": config.root}
+        found = source_files(self.spark, config)
+        buckets = max(BUCKETS, found.count() // BUCKET_FILES)
+        self._write(scan_files(found, config), version, buckets)
+        meta = {"version": version, "versions": {str(b): version for b in range(buckets)}, "fingerprint": config.fingerprint(), "targets": config.targets, "root": config.root}
         self._publish(meta)
         return self._finish(config, {"mode": "rebuild", "version": version})
 
@@ -222,19 +237,19 @@ class FactStore:
             raise StaleConfig("the store was built under another configuration; build it anew")
         if mode == "off":
             return {"mode": "off", "version": meta["version"], "changed": None, "stale": None}
-        changes = [(r["file"], r["change"]) for r in self.drift(config).collect()]
-        if mode == "check" or not changes:
-            return {"mode": mode, "version": meta["version"], "changed": len(changes), "stale": bool(changes)}
-        version = meta["version"] + 1
-        paths = self.spark.createDataFrame(changes, "file string, change string")
-        fresh = source_files(self.spark, config).join(F.broadcast(paths.where("change <> 'removed'").select("file")), "file", "left_semi")
-        hit = paths.select(F.pmod(F.xxhash64("file"), F.lit(BUCKETS)).cast("int").alias("bucket"), "file")
-        buckets = sorted({r["bucket"] for r in hit.select("bucket").distinct().collect()})
-        kept = self._buckets().where(F.col("bucket").isin(buckets)).join(F.broadcast(paths.select("file")), "file", "left_anti")
+        changes = checkpointed(self.drift(config))
+        n = changes.count()
+        if mode == "check" or not n:
+            return {"mode": mode, "version": meta["version"], "changed": n, "stale": bool(n)}
+        version, n_buckets = meta["version"] + 1, len(meta["versions"])
+        fresh = source_files(self.spark, config).join(changes.where("change <> 'removed'").select("file"), "file", "left_semi")
+        hit = changes.select(F.pmod(F.xxhash64("file"), F.lit(n_buckets)).cast("int").alias("bucket")).distinct()
+        buckets = sorted(r["bucket"] for r in hit.collect())
+        kept = self._buckets().where(F.col("bucket").isin(buckets)).join(changes.select("file"), "file", "left_anti")
         both = kept.drop("bucket", "version", "module").unionByName(scan_files(fresh, config))
-        self._write(both, version)
+        self._write(both, version, n_buckets)
         self._publish(meta | {"version": version, "versions": meta["versions"] | {str(b): version for b in buckets}, "previous": meta["versions"]})
-        return self._finish(config, {"mode": mode, "version": version, "changed": len(changes), "stale": False})
+        return self._finish(config, {"mode": mode, "version": version, "changed": n, "stale": False})
 
     def _finish(self, config: AnalysisConfig, stats: dict) -> dict:
         try:
@@ -247,6 +262,7 @@ class FactStore:
         """Delete versions of buckets that no reader of the current version uses."""
         meta = {k: v for k, v in self.meta().items() if k != "previous"}
         self._publish(meta)
+        self._read = None
         system, where = self._hadoop(f"{self.path}/derived")
         if system.exists(where):
             for entry in system.listStatus(where):

@@ -332,6 +332,17 @@ def test_scan_of_odd_sources():
     assert [(m, n) for m, n, *_ in rows["imports"]] == [("p", "z"), ("p.q.s", "t")]
 
 
+def test_class_statements_inside_blocks():
+    class Marks(FactHooks):
+        def callbacks(self, node, place):
+            call = node.value if isinstance(node, ast.Expr) else None
+            return [("mark", call.args[0].value, call.args[1].value)] if isinstance(call, ast.Call) and dotted(call.func) == "mark" else []
+
+    source = "class A:\n    mark('a', 'b')\n    if X:\n        mark('c', 'd')\n    else:\n        try:\n            pass\n        except E:\n            mark('e', 'f')\n    def m(self):\n        mark('g', 'h')\n"
+    _, rows = scan("a.py", source.encode(), Marks())
+    assert [r[3:] for r in rows["callback_raw"]] == [("a", "b"), ("c", "d"), ("e", "f")]
+
+
 def test_method_lookup_is_depth_first(spark, tmp_path):
     """A chain deeper than any fixed number of rounds, a diamond, and a class that is its own base."""
     chain = "class L0:\n    def deep(self):\n        pass\n" + "".join(f"\n\nclass L{k}(L{k - 1}):\n    pass\n" for k in range(1, 40))

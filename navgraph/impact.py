@@ -153,8 +153,10 @@ class Impact:
 
     def event_sides(self) -> DataFrame:
         """``event, side, key, name, file, line`` of every function that sends or hears an event."""
-        rows = self.nav.store.table("pubsub").where("func IS NOT NULL")
-        return rows.select("event", "side", node(F.col("file"), F.col("cls"), F.col("func")).alias("key"), display_name(F.col("cls"), F.col("func")).alias("name"), "file", "line").distinct()
+        def make():
+            rows = self.nav.store.table("pubsub").where("func IS NOT NULL")
+            return rows.select("event", "side", node(F.col("file"), F.col("cls"), F.col("func")).alias("key"), display_name(F.col("cls"), F.col("func")).alias("name"), "file", "line").distinct()
+        return self.nav.graph._once("event_sides", make, kept=True)
 
     def reached(self, frontier: DataFrame) -> DataFrame:
         """Edges into the functions of ``frontier`` (``key``). Both sides of an event reach each other; they meet at the

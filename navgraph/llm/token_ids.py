@@ -31,8 +31,9 @@ SLICE_BYTES = 6_000_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 WORD = re.compile(rf" ?[{LETTERS}]+")
 PLAIN = re.compile(rf" ?[{LETTERS}0-9!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{{|}}~][{LETTERS}0-9!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{{|}}~\n]*")
-WIDE_BLANKS = re.compile(r"\s\s")
-BEFORE_BLANK = re.compile(r"(?<=\S)(?= \S)")
+PLAIN_RE2 = rf"\A(?:{PLAIN.pattern})\z"
+#: Stands between the words of a plain part, which has no such character.
+BORDER = "\x1f"
 
 
 def byte_alphabet() -> list[str]:
@@ -44,6 +45,18 @@ def byte_alphabet() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+def gathered(values: np.ndarray, start: np.ndarray, count: np.ndarray, codes: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` (``count`` from ``start`` on, by code) of all ``codes`` in a row, and where ``borders``
+    between codes come to lie in it."""
+    n = count[codes]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    at = np.repeat((start[codes] - (ends - n)).astype(kind), n)
+    at += np.arange(total, dtype=kind)
+    return values[at], np.append(np.zeros(1, np.int64), ends)[borders]
+
+
 class Encoder:
     """``ids(text)`` equals ``Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids``.
 
@@ -63,7 +76,9 @@ class Encoder:
         blank = " ?" if self.keep_blank else ""
         digits = "[0-9]+" if self.keep_blank else "[0-9]"
         feed = "|\n+" if self.keep_blank else ""
-        self.pretoken = re.compile(rf"{blank}[{LETTERS}]+|{blank}{digits}|{blank}[^\s{LETTERS}0-9]+{feed}")
+        pretoken = rf"{blank}[{LETTERS}]+|{blank}{digits}|{blank}[^\s{LETTERS}0-9]+{feed}"
+        self.pretoken = re.compile(pretoken)
+        self.cut_re2 = f"({pretoken})" if self.keep_blank else rf"({pretoken.replace(chr(92) + 's', chr(92) + 's' + BORDER)})"
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -118,16 +133,38 @@ class Encoder:
         distinct, codes = coded.dictionary, coded.indices.to_numpy()
         if self.keep_blank:
             distinct = pc.binary_join_element_wise(pa.scalar(" "), distinct, pa.scalar(""))
-        words = distinct.to_pylist()
-        del strings, lists, coded, distinct
+        del strings, lists, coded
+        # Plain parts are cut into words in Arrow; each distinct word and each other part is encoded once.
+        plain = pc.match_substring_regex(distinct, PLAIN_RE2)
+        for odd in ("<|", "\n\n"):
+            plain = pc.and_not(plain, pc.match_substring(distinct, odd))
+        plain = plain.to_numpy(zero_copy_only=False)
+        cut = distinct.filter(pa.array(plain))
+        if not self.keep_blank:
+            cut = pc.replace_substring(pc.utf8_lower(cut), "\n", BORDER)
+        cut = pc.split_pattern(pc.replace_substring_regex(cut, self.cut_re2, rf"\1{BORDER}"), BORDER)
+        pieces = cut.flatten()
+        full = pc.binary_length(pieces).to_numpy() > 0
+        upto = np.append(0, np.cumsum(full))[cut.offsets.to_numpy()]
+        pieces = pieces.filter(pa.array(full)).dictionary_encode()
+        words = pieces.dictionary.to_pylist()
         table = list(map(self.memo.get, words))
         for k, ids in enumerate(table):
             if ids is None:
-                table[k] = self.part(words[k])
+                table[k] = self.word(words[k])
+        others = np.flatnonzero(~plain)
+        other = distinct.take(pa.array(others)).to_pylist()
+        # Each part's run of table entries.
+        run = [pieces.indices.to_numpy(), np.arange(len(table), len(table) + len(other))]
+        start, count = np.zeros(len(plain), np.int64), np.ones(len(plain), np.int64)
+        start[plain], count[plain] = upto[:-1], np.diff(upto)
+        start[others] = len(run[0]) + np.arange(len(other))
+        table += map(self.part, other)
         if self.keep_blank:
             # A part that is empty or has white space at its end next to a blank belongs together with its neighbour.
-            opens = np.fromiter((w[1:2].isspace() or len(w) == 1 for w in words), bool, len(words))
-            shuts = np.fromiter((w[-1].isspace() for w in words), bool, len(words))
+            opens, shuts = np.zeros(len(plain), bool), pc.ends_with(distinct, "\n").to_numpy(zero_copy_only=False).copy()
+            opens[others] = [len(w) == 1 or w[1].isspace() for w in other]
+            shuts[others] = [w[-1].isspace() for w in other]
             new = np.ones(len(codes), bool)
             new[1:] = ~(shuts[codes[:-1]] | opens[codes[1:]])
             new[first[:-1]] = True
@@ -135,24 +172,21 @@ class Encoder:
             stop = np.append(begin[1:], len(codes))
             head = np.zeros(len(codes), bool)
             head[first[:-1]] = True
-            grouped = codes[begin].copy()
+            grouped, extra = codes[begin].astype(np.int64), []
             for k in np.flatnonzero(head[begin] | (stop - begin > 1)).tolist():
                 a, b = int(begin[k]), int(stop[k])
-                grouped[k] = len(table)
-                whole = "".join([words[c] for c in codes[a:b].tolist()])
-                table.append(self.part(whole[1:] if head[a] else whole))
+                whole = "".join([distinct[c].as_py() for c in codes[a:b].tolist()])
+                grouped[k] = len(start) + len(extra)
+                extra.append(self.part(whole[1:] if head[a] else whole))
+            run.append(np.arange(len(table), len(table) + len(extra)))
+            start = np.append(start, len(run[0]) + len(run[1]) + np.arange(len(extra)))
+            count = np.append(count, np.ones(len(extra), np.int64))
+            table += extra
             first = np.append(np.searchsorted(begin, first[:-1]), len(begin))
             codes = grouped
-        flat = np.frombuffer(b"".join(table), self.dtype)
+        entries, borders = gathered(np.concatenate(run), start, count, codes, first)
         size = np.fromiter(map(len, table), np.int64, len(table)) // self.dtype.itemsize
-        n = size[codes]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
-        at = np.repeat(((np.cumsum(size) - size)[codes] - (ends - n)).astype(kind), n)
-        at += np.arange(total, dtype=kind)
-        borders = np.append(np.zeros(1, np.int64), ends)[first]
-        ids = flat[at]
+        ids, borders = gathered(np.frombuffer(b"".join(table), self.dtype), np.cumsum(size) - size, size, entries, borders)
         if end_id is not None:
             ids = np.insert(ids, borders[1:], self.dtype.type(end_id))
             borders = borders + np.arange(len(borders))

@@ -174,17 +174,6 @@ def chunk_rows(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, t
     return source.mapInArrow(encode, f"kind string, hash binary, doc_id {kind}, n_ids long, chunks array<binary>, payload binary")
 
 
-def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (kind, hash): drop a chunk row whose hash the row before it has."""
-    last = pa.array([None], pa.binary())
-    for b in batches:
-        hashes = b.column(1)
-        before = pa.concat_arrays([last, hashes.slice(0, b.num_rows - 1)])
-        again = pc.and_(pc.equal(b.column(0), "c"), pc.fill_null(pc.equal(hashes, before), False))
-        last = hashes.slice(b.num_rows - 1)
-        yield b.filter(pc.invert(again))
-
-
 NODE = "shard int, no long, start long, n_tokens long, n_docs long, root binary, whole boolean"
 
 
@@ -226,8 +215,10 @@ def write_store(docs: DataFrame, root: str, tokenizer_path: str, end_id: int = 1
     spark = docs.sparkSession
     rows = chunk_rows(docs, tokenizer_path, end_id, id_col, text_col)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "hash").sortWithinPartitions("kind", "hash")
-    dealt.mapInArrow(first_of_each, dealt.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{root}/parts")
+    # Of the rows of a chunk (one a task at most) the first stays; the window's order is the one that the writer needs.
+    alike = F.row_number().over(Window.partitionBy("kind", "hash").orderBy("n_ids"))
+    dealt = rows.repartition(n, "hash").withColumn("no", alike).where("kind = 'r' OR no = 1").drop("no")
+    dealt.write.partitionBy("kind").option("compression", "zstd").parquet(f"{root}/parts")
     parts = spark.read.schema(f"{dealt.drop('kind').schema.simpleString()[7:-1].replace(':', ' ')}, kind string").parquet(f"{root}/parts")
 
     recipes = parts.where("kind = 'r'").select("doc_id", F.col("n_ids").alias("n_tokens"), "chunks")

@@ -148,14 +148,16 @@ class Navigator:
         return rows.orderBy("file", "line").limit(limit + 1)
 
     # -- structure ------------------------------------------------------------------------------------------------
-    def _import_targets(self) -> DataFrame:
-        """Every import with the file that it names: ``module.name`` before ``module``; ``dst`` is null outside."""
+    def _import_targets(self, imports: DataFrame | None = None) -> DataFrame:
+        """Every import (or rows with its ``module`` and ``name``) with the file that it names: ``module.name`` before
+        ``module``; ``dst`` is null outside."""
         modules = self.graph.modules()
-        imports = self.store.table("imports").select("file", "module", "name", "line")
+        if imports is None:
+            imports = self.store.table("imports").select("file", "module", "name", "line")
         longer = modules.select(F.col("module").alias("m1"), F.col("file").alias("f1"))
         plain = modules.select(F.col("module").alias("m2"), F.col("file").alias("f2"))
         met = imports.join(longer, F.concat_ws(".", "module", "name") == F.col("m1"), "left").join(plain, F.col("module") == F.col("m2"), "left")
-        return met.select("file", "module", "name", "line", F.coalesce("f1", "f2").alias("dst"))
+        return met.select(*imports.columns, F.coalesce("f1", "f2").alias("dst"))
 
     def import_edges(self) -> DataFrame:
         """Distinct ``src, dst`` between indexed files."""
@@ -163,8 +165,10 @@ class Navigator:
 
     def external(self, scope: str = "") -> DataFrame:
         """``module, n``: imported modules that no indexed file is, by how often they are imported."""
-        out = self._import_targets().where("dst IS NULL AND module <> ''").where(within(F.col("file"), scope))
-        return out.groupBy("module").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "module")
+        told = self.store.table("imports").where(within(F.col("file"), scope)).where("module <> ''")
+        times = told.groupBy("module", "name").agg(F.count("*").alias("times"))  # a name is looked up once, not at every import
+        out = self._import_targets(times).where("dst IS NULL")
+        return out.groupBy("module").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "module")
 
     def deps(self, scope: str) -> DataFrame:
         """``src, dst`` of the internal imports of a file or folder."""

@@ -19,9 +19,10 @@ from navgraph.resources import Resources
 from navgraph.sources.store import FrameStore
 
 TABLES = ("supplier", "nation", "part", "lineitem", "events")
+SIZES = "SELECT (SELECT count(*) FROM {supplier}) AS ns, (SELECT count(*) FROM {part}) AS np"
 #: Facts, as common table expressions; ``{part}`` and the like stand for the tables.
-BASE = """
-    sizes AS (SELECT (SELECT count(*) FROM {supplier}) AS ns, (SELECT count(*) FROM {part}) AS np),
+BASE = f"""
+    sizes AS ({SIZES}),""" + """
     files AS (
       SELECT s_suppkey AS s, 'r' || n_regionkey || '/n' || s_nationkey || '/s' || s_suppkey || '.py' AS file,
              'r' || n_regionkey || '.n' || s_nationkey || '.s' || s_suppkey AS module, s_suppkey % 10 <> 9 AS parse_ok, s_suppkey * 7 AS length
@@ -108,10 +109,25 @@ FILES = "SELECT file, module, TIMESTAMP '2024-01-01 00:00:00' AS mtime, length,
 ALIASES = {"in": ["out"]}
 
 
+@cache
+def _tables(app: str, sf_dir: str) -> tuple[dict[str, DataFrame], str]:
+    """The tables, and ``BASE`` with their counted sizes in it."""
+    spark = SparkSession.getActiveSession()
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    return tables, BASE.replace(SIZES, f"SELECT {tables['supplier'].count()}L AS ns, {tables['part'].count()}L AS np")
+
+
+def _facts(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """``sql`` over ``BASE``. Each table's footers are read once a session and folder: a path named in SQL costs one job
+    wherever it is named, about 180 of them for a store. Sizes are numbers there: while ``l_partkey % ns`` waits for a
+    joined table, a filter on a module (of two tables) joins them first, as a product."""
+    tables, base = _tables(spark.sparkContext.applicationId, sf_dir)
+    return spark.sql(f"WITH {base} {sql}", **tables)
+
+
 def store(spark: SparkSession, sf_dir: str) -> FrameStore:
     """The facts as a store of DataFrames."""
-    paths = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
-    frame = lambda sql: spark.sql(f"WITH {BASE.format(**paths)} {sql}")
+    frame = lambda sql: _facts(spark, sf_dir, sql)
     tables = {name: frame(sql) for name, sql in FRAMES.items()}
     bases = F.when(F.col("base").isNull(), F.array().cast("array<string>")).otherwise(F.array("base"))
     tables["classes"] = tables["classes"].withColumn("bases", bases)
@@ -129,10 +145,6 @@ def navigator(spark: SparkSession, sf_dir: str) -> Navigator:
     return _navigator(spark.sparkContext.applicationId, sf_dir)
 
 
-def _facts(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(f"WITH {BASE.format(**{t: f'parquet.`{sf_dir}/{t}.parquet`' for t in TABLES})} {sql}")
-
-
 def _part(spark: SparkSession, sf_dir: str, key: int = 1) -> tuple[str, str]:
     """File and name of the function of one part."""
     row = _facts(spark, sf_dir, f"SELECT file, name FROM funcs WHERE k = {key}").first()

@@ -132,7 +132,8 @@ class Impact:
 
     # -- edges ----------------------------------------------------------------------------------------------------
     def edges(self) -> DataFrame:
-        """``to, target, caller_key, caller, caller_file, caller_line, via``: who is reached when a function changes."""
+        """``to, target, caller_key, caller, caller_file, caller_line, via``: who is reached by calls and callbacks when a
+        function changes."""
         return self.nav.graph._once("impact_edges", self._edges, kept=True)
 
     def _edges(self) -> DataFrame:
@@ -143,13 +144,18 @@ class Impact:
                 display_name(c, n).alias("caller"), f.alias("caller_file"), F.col(line).alias("caller_line"), F.lit(via).alias("via"),
             )
 
-        store, calls = self.nav.store, self.nav.graph
+        calls = self.nav.graph
         direct = rows(calls.call_edges(), ("dst_file", "dst_cls", "dst_func"), ("src_file", "src_cls", "src_func"), "line", "call")
         back = rows(calls.callback_edges(), ("def_file", "def_cls", "target"), ("file", "cls", "source"), "line", "callback")
-        defs = store.table("defs").select(F.col("file").alias("t_file"), F.col("cls").alias("t_cls"), F.col("name").alias("method"))
-        sent = self.nav.enclosing(store.table("rpc").select("file", "line", "method", "stub")).join(defs, "method").where("t_cls IS NULL OR stub IS NULL OR stub = t_cls")
-        remote = rows(sent, ("t_file", "t_cls", "method"), ("file", "e_cls", "e_func"), "line", "rpc")
-        return direct.unionByName(back).unionByName(remote).where("caller_key IS NULL OR caller_key <> to").distinct()
+        return direct.unionByName(back).where("caller_key IS NULL OR caller_key <> to").distinct()
+
+    def remote_calls(self) -> DataFrame:
+        """``method, stub, caller_key, caller, caller_file, caller_line, via`` of every remote call."""
+        def make():
+            sent = self.nav.enclosing(self.nav.store.table("rpc").select("file", "line", "method", "stub"))
+            key = F.when(F.col("e_func").isNotNull(), node(F.col("file"), F.col("e_cls"), F.col("e_func")))
+            return sent.select("method", "stub", key.alias("caller_key"), display_name(F.col("e_cls"), F.col("e_func")).alias("caller"), F.col("file").alias("caller_file"), F.col("line").alias("caller_line"), F.lit("rpc").alias("via")).distinct()
+        return self.nav.graph._once("remote_calls", make, kept=True)
 
     def event_sides(self) -> DataFrame:
         """``event, side, key, name, file, line`` of every function that sends or hears an event."""
@@ -159,15 +165,20 @@ class Impact:
         return self.nav.graph._once("event_sides", make, kept=True)
 
     def reached(self, frontier: DataFrame) -> DataFrame:
-        """Edges into the functions of ``frontier`` (``key``). Both sides of an event reach each other; they meet at the
-        events of the frontier, so pairs of all senders and hearers are never written out."""
+        """Edges into the functions of ``frontier`` (``key``). Both sides of an event reach each other, and a remote call
+        every method of its name; they meet at the events and methods of the frontier, so pairs of all senders and
+        hearers, or of all calls and methods, are never written out."""
         shape = ("to", "target", "caller_key", "caller", "caller_file", "caller_line", "via")
         direct = self.edges().join(frontier.withColumnRenamed("key", "to"), "to").select(*shape)
         sides = self.event_sides()
         other = F.when(F.col("side") == "publish", "listen").otherwise("publish")
         here = sides.join(frontier, "key").select("event", other.alias("side"), F.col("key").alias("to"), F.col("name").alias("target")).distinct()
         there = sides.select("event", "side", F.col("key").alias("caller_key"), F.col("name").alias("caller"), F.col("file").alias("caller_file"), F.col("line").alias("caller_line"), F.lit("pubsub").alias("via"))
-        return direct.unionByName(here.join(there, ["event", "side"]).where("caller_key <> to").select(*shape)).distinct()
+        by_event = here.join(there, ["event", "side"]).where("caller_key <> to").select(*shape)
+        defs = self.nav.store.table("defs").select(node(F.col("file"), F.col("cls"), F.col("name")).alias("to"), display_name(F.col("cls"), F.col("name")).alias("target"), F.col("cls").alias("t_cls"), F.col("name").alias("method"))
+        called = defs.join(frontier.withColumnRenamed("key", "to"), "to").distinct()
+        remote = called.join(self.remote_calls(), "method").where("(t_cls IS NULL OR stub IS NULL OR stub = t_cls) AND (caller_key IS NULL OR caller_key <> to)").select(*shape)
+        return direct.unionByName(by_event).unionByName(remote).distinct()
 
     # -- closure --------------------------------------------------------------------------------------------------
     def closure(self, changes: DataFrame, depth: int = 3, max_edges: int = MAX_EDGES) -> tuple[DataFrame, bool]:

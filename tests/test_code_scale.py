@@ -2,6 +2,7 @@
 
 import pytest
 
+from navgraph.impact import Impact
 from navgraph.plans import codebase
 
 SF = "/root/testdata/sf0.01"
@@ -32,3 +33,11 @@ def test_a_store_reads_each_footer_once(spark):
         assert len(tracker.getJobIdsForGroup("store")) <= 3 * len(codebase.TABLES)
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_remote_calls_meet_at_the_frontier(spark):
+    """The kept edges hold calls and callbacks; the pairs of all remote calls and all methods of a name are not in them."""
+    own = Impact(codebase.navigator(spark, SF))
+    calls = own.nav.store.table("rpc").count()
+    assert own.edges().where("via = 'rpc'").count() == 0
+    assert own.remote_calls().count() <= calls

@@ -17,6 +17,7 @@ from navgraph.functions.paths import like_literal
 from navgraph.navigation import Navigator
 from navgraph.operators import graph
 from navgraph.operators.temporal import as_of
+from navgraph.shared import checkpointed
 
 #: Steps from an item's class to the class that holds its resource, and hits that an answer lists.
 HOST_STEPS, LISTED = 4, 8
@@ -72,7 +73,7 @@ class Resources:
         return met.groupBy("cls", "file").agg(F.min(F.struct("step", "host_file", "host", "res_key")).alias("first")).select("cls", "file", "first.res_key")
 
     def hits(self, wanted: DataFrame) -> DataFrame:
-        """``wanted`` (site, res_key, segments, prefix) with every ``node_id`` that its path of names reaches."""
+        """``wanted`` (res_key, segments, prefix and others) with every ``node_id`` that its path of names reaches."""
         names = self.nodes.select("res_key", F.col("node_id").cast("string").alias("node_id"), "name")
         below = self.closure()
         longest = wanted.agg(F.max(F.size("segments"))).first()[0] or 0
@@ -80,7 +81,7 @@ class Resources:
         for k in range(longest):
             step = here.where(F.size("segments") > k).withColumn("want", F.get("segments", F.lit(k)))
             last = F.size("segments") == k + 1
-            under = step.join(below.withColumnRenamed("anc", "below_anc"), "res_key").where(F.col("anc").eqNullSafe(F.col("below_anc"))).join(names, ["res_key", "node_id"])
+            under = step.join(below.withColumnsRenamed({"res_key": "below_key", "anc": "below_anc"}), (F.col("res_key") == F.col("below_key")) & F.col("anc").eqNullSafe(F.col("below_anc"))).join(names, ["res_key", "node_id"])
             fits = (F.col("name") == F.col("want")) | (last & F.col("prefix") & F.col("name").startswith(F.col("want")))
             met = under.where(fits).select(*wanted.columns, "node_id").distinct()
             ended = met.where(F.size("segments") == k + 1)
@@ -88,6 +89,17 @@ class Resources:
             here = met.withColumnRenamed("node_id", "anc")
         return done if done is not None else wanted.withColumn("node_id", F.lit(None).cast("string")).limit(0)
 
+    def counted(self, wanted: DataFrame, n: str, nodes: str) -> DataFrame:
+        """``site``, how many nodes it reaches in all its trees, and the first of them. What a path reaches in a tree is
+        the same for every site, so it is found and counted once, and sites only add up the counts of their trees."""
+        path = ["res_key", "segments", "prefix"]
+        hits = checkpointed(self.hits(checkpointed(wanted.select(*path).distinct())))
+        shown = F.concat_ws("#", "res_key", "node_id")
+        listed = hits.withColumn("shown", shown).withColumn("r", F.row_number().over(Window.partitionBy(*path).orderBy("shown"))).where(F.col("r") <= LISTED)
+        told = hits.groupBy(*path).agg(F.count("*").alias("k")).join(listed.groupBy(*path).agg(F.collect_list("shown").alias("first")), path)
+        met = wanted.select("site", *path).distinct().join(told, path)
+        return met.groupBy("site").agg(F.sum("k").alias(n), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("first")))), 1, LISTED).alias(nodes))
+
     # -- grading --------------------------------------------------------------------------------------------------
     def grade(self, sites: DataFrame) -> DataFrame:
         """``file, line, cls, level, n, nodes, note`` of every site.
@@ -98,11 +110,10 @@ class Resources:
         """
         keyed = sites.withColumn("site", F.xxhash64("file", "line", "cls", F.array_join("segments", "/"), "prefix"))
         known = keyed.where("prefix IS NOT NULL").select("site", "file", "cls", "segments", "prefix").distinct()
-        own = known.join(self.bindings().select("cls", "file", "res_key"), ["cls", "file"]).select("site", "res_key", "segments", "prefix")
-        via = known.join(own.select("site").distinct(), "site", "left_anti").join(self.hosts(), ["cls", "file"]).select("site", "res_key", "segments", "prefix")
-        count = lambda df, n, ids: df.groupBy("site").agg(F.countDistinct("res_key", "node_id").alias(n), F.slice(F.array_sort(F.collect_set(F.concat_ws("#", "res_key", "node_id"))), 1, LISTED).alias(ids))
+        own = checkpointed(known.join(self.bindings().select("cls", "file", "res_key"), ["cls", "file"]).select("site", "res_key", "segments", "prefix"))
+        via = checkpointed(known.join(own.select("site").distinct(), "site", "left_anti").join(self.hosts(), ["cls", "file"]).select("site", "res_key", "segments", "prefix"))
         met = keyed.join(own.select("site", F.lit(True).alias("bound")).distinct(), "site", "left").join(via.select("site", F.lit(True).alias("hosted")).distinct(), "site", "left")
-        met = met.join(count(self.hits(own), "n_own", "own_nodes"), "site", "left").join(count(self.hits(via), "n_via", "via_nodes"), "site", "left")
+        met = met.join(self.counted(own, "n_own", "own_nodes"), "site", "left").join(self.counted(via, "n_via", "via_nodes"), "site", "left")
         level = (
             F.when(F.col("prefix").isNull(), "DYNAMIC").when(F.col("n_own") == 1, "EXACT").when(F.col("n_own") > 1, "MULTI")
             .when(F.col("bound") & F.col("prefix"), "PATTERN").when(F.col("bound"), "MISS")

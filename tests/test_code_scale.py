@@ -4,6 +4,7 @@ import pytest
 
 from navgraph.impact import Impact
 from navgraph.plans import codebase
+from navgraph.resources import Resources
 
 SF = "/root/testdata/sf0.01"
 
@@ -41,3 +42,17 @@ def test_remote_calls_meet_at_the_frontier(spark):
     calls = own.nav.store.table("rpc").count()
     assert own.edges().where("via = 'rpc'").count() == 0
     assert own.remote_calls().count() <= calls
+
+
+def test_a_path_is_looked_up_once_in_a_tree(spark, monkeypatch):
+    looked, real = [], Resources.hits
+
+    def hits(self, wanted):
+        looked.append(wanted.count())
+        return real(self, wanted)
+
+    monkeypatch.setattr(Resources, "hits", hits)
+    own, sites = codebase._resources(spark, SF)
+    assert own.grade(sites).count() == sites.count()
+    trees = own.nodes.select("res_key").distinct().count()
+    assert max(looked) <= trees * sites.where("prefix IS NOT NULL").select("segments", "prefix").distinct().count() < sites.count()

@@ -135,7 +135,7 @@ class Resources:
 
     def audit(self, sites: DataFrame) -> DataFrame:
         """``level, n, files, examples`` over all sites, levels without a site too."""
-        graded = self.grade(sites)
+        graded = checkpointed(self.grade(sites).select("level", "file", "line"))
         every = self.nav.store.spark.createDataFrame([(x,) for x in LEVELS], "level string")
         first = graded.withColumn("k", F.row_number().over(Window.partitionBy("level", F.pmod(F.xxhash64("file"), F.lit(64))).orderBy("file", "line"))).where("k <= 5")
         shown = first.groupBy("level").agg(F.slice(F.array_sort(F.collect_set(F.concat_ws(":", "file", "line"))), 1, 5).alias("examples"))

@@ -56,3 +56,8 @@ def test_a_path_is_looked_up_once_in_a_tree(spark, monkeypatch):
     assert own.grade(sites).count() == sites.count()
     trees = own.nodes.select("res_key").distinct().count()
     assert max(looked) <= trees * sites.where("prefix IS NOT NULL").select("segments", "prefix").distinct().count() < sites.count()
+
+
+def test_an_audit_grades_once(spark):
+    own, sites = codebase._resources(spark, SF)
+    assert "part.parquet" not in plan(own.audit(sites))  # counts and examples read the kept grades

@@ -61,3 +61,7 @@ def test_a_path_is_looked_up_once_in_a_tree(spark, monkeypatch):
 def test_an_audit_grades_once(spark):
     own, sites = codebase._resources(spark, SF)
     assert "part.parquet" not in plan(own.audit(sites))  # counts and examples read the kept grades
+
+
+def test_context_joins_no_product(spark, small_broadcasts):
+    assert "CartesianProduct" not in plan(codebase.code_context(spark, SF))

@@ -21,6 +21,8 @@ from navgraph.sources.extract import scan
 
 #: Depth that stands for no limit, and edges after which a closure is cut off.
 NO_LIMIT, MAX_EDGES = 99, 1000
+#: Rows that are sent to every executor instead of dealing out what they meet.
+FEW = 10_000
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 FUNCTION_SHAPE = "file string, cls string, name string, line long, end_line long, cls_line long, header_start long, header_end long"
 
@@ -230,17 +232,21 @@ class Impact:
     def importers(self, changes: DataFrame) -> DataFrame:
         """``file, imports``: files that import a changed file, from the index or, where the index has lost the file, by
         its module's name (``import m``, ``from m import x``, ``import m.x``)."""
-        edges = self.nav.import_edges()
         files = changes.select(F.col("file").alias("dst")).distinct()
-        hit = edges.join(files, "dst").select(F.col("src").alias("file"), F.col("dst").alias("imports"))
         gone = files.join(self.nav.store.files().select(F.col("file").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("imports"), module_of(F.col("dst")).alias("gone"))
+        imports = self.nav.store.table("imports").select("file", "module", "name")
+        # A name is looked up once, not at every import of it.
+        told = checkpointed(imports.select("module", "name").distinct())
+        here = self.nav._import_targets(told).join(files, "dst").select("module", "name", F.col("dst").alias("imports"))
         # Every module that an import names or lies under, so that this stays an equality join.
         parts = F.split("module", r"\.")
         over = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
-        imports = self.nav.store.table("imports").where("module <> ''").select("file", "module", "name")
-        named = imports.select("file", F.explode(F.concat(over, F.when(F.col("name").isNotNull(), F.array(F.concat_ws(".", "module", "name"))).otherwise(F.array().cast("array<string>")))).alias("gone"))
-        by_name = named.join(gone, "gone").where(F.col("file") != F.col("imports")).select("file", "imports")
-        return hit.unionByName(by_name).distinct().orderBy("file", "imports")
+        named = told.where("module <> ''").select("module", "name", F.explode(F.concat(over, F.when(F.col("name").isNotNull(), F.array(F.concat_ws(".", "module", "name"))).otherwise(F.array().cast("array<string>")))).alias("gone"))
+        aimed = checkpointed(here.unionByName(named.join(gone, "gone").select("module", "name", "imports")).distinct().withColumnsRenamed({"module": "m", "name": "n"}))
+        if aimed.count() <= FEW:
+            aimed = F.broadcast(aimed)
+        met = imports.join(aimed, F.col("module").eqNullSafe(F.col("m")) & F.col("name").eqNullSafe(F.col("n"))).where(F.col("file") != F.col("imports"))
+        return met.select("file", "imports").distinct().orderBy("file", "imports")
 
     # -- projections ----------------------------------------------------------------------------------------------
     @staticmethod

@@ -2,7 +2,9 @@
 
 import pytest
 
+from navgraph.config import AnalysisConfig
 from navgraph.impact import Impact
+from navgraph.navigation import Navigator
 from navgraph.plans import codebase
 from navgraph.resources import Resources
 
@@ -65,3 +67,12 @@ def test_an_audit_grades_once(spark):
 
 def test_context_joins_no_product(spark, small_broadcasts):
     assert "CartesianProduct" not in plan(codebase.code_context(spark, SF))
+
+
+def test_importers_of_few_files_make_no_edges_of_all(spark, small_broadcasts):
+    nav = Navigator(codebase.store(spark, SF), AnalysisConfig(SF))
+    changes = spark.createDataFrame([("ext_3.py", None, None), (nav.store.files().first()["file"], None, None)], "file string, diff string, old_text string")
+    found = Impact(nav).importers(changes)
+    assert "CartesianProduct" not in plan(found) and "Generate explode" not in plan(found)  # names are taken apart once each, before
+    assert "import_edges" not in nav.graph._made
+    assert {r["imports"] for r in found.collect()} == {r["file"] for r in changes.collect()}

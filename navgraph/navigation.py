@@ -156,13 +156,24 @@ class Navigator:
             imports = self.store.table("imports").select("file", "module", "name", "line")
         longer = modules.select(F.col("module").alias("m1"), F.col("file").alias("f1"))
         plain = modules.select(F.col("module").alias("m2"), F.col("file").alias("f2"))
-        met = imports.join(longer, F.concat_ws(".", "module", "name") == F.col("m1"), "left").join(plain, F.col("module") == F.col("m2"), "left")
+        named = F.col("name").isNotNull() & (F.concat_ws(".", "module", "name") == F.col("m1"))  # without a name both are the module
+        met = imports.join(longer, named, "left").join(plain, F.col("module") == F.col("m2"), "left")
         return met.select(*imports.columns, F.coalesce("f1", "f2").alias("dst"))
 
     def import_edges(self) -> DataFrame:
         """Distinct ``src, dst`` between indexed files."""
         return self.graph._once("import_edges", kept=True, make=lambda: self._import_targets().where("dst IS NOT NULL AND dst <> file").select(F.col("file").alias("src"), "dst").distinct())
 
+    def _import_counts(self) -> DataFrame:
+        """``dst, module, n, times``: every imported file (``module`` is null) and module outside (``dst`` is null) with
+        the number of files that import it, itself left out, and of imports. One pass over the imports."""
+        def make():
+            outside = F.when(F.col("dst").isNull(), F.col("module")).alias("module")
+            pairs = self._import_targets().groupBy("dst", outside, "file").agg(F.count("*").alias("times"))  # by pair, so that a hub is spread out
+            others = F.count_if(F.col("dst").isNull() | (F.col("dst") != F.col("file")))
+            return pairs.groupBy("dst", "module").agg(others.alias("n"), F.sum("times").alias("times"))
+        return self.graph._once("import_counts", make, kept=True)
+
     def external(self, scope: str = "") -> DataFrame:
         """``module, n``: imported modules that no indexed file is, by how often they are imported."""
         told = self.store.table("imports").where(within(F.col("file"), scope)).where("module <> ''")
@@ -232,15 +243,20 @@ class Navigator:
         """``section, name, n``: the project's largest folders, hubs, external modules, table sizes and coverage."""
         folders, hubs, modules = (15, 10, 10) if compact else (40, 25, 25)
         tree = self.store.files().groupBy(folder_key(F.col("file"), 1).alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(folders)
+        counts = self._import_counts()  # hubs, external modules and the number of imports come from one pass
+        top = counts.where("dst IS NOT NULL AND n > 0").orderBy(F.desc("n"), "dst").limit(hubs)
+        outside = counts.where("dst IS NULL AND module <> ''").orderBy(F.desc("times"), "module").limit(modules)
+        size = lambda rows, table: rows.select(F.lit("table").alias("section"), F.lit(table).alias("name"), "n")
         parts = [
             tree.select(F.lit("folder").alias("section"), "name", "n"),
-            self.hubs(hubs).select(F.lit("hub").alias("section"), F.col("file").alias("name"), "n"),
-            self.external().limit(modules).select(F.lit("external").alias("section"), F.col("module").alias("name"), "n"),
+            top.select(F.lit("hub").alias("section"), F.col("dst").alias("name"), "n"),
+            outside.select(F.lit("external").alias("section"), F.col("module").alias("name"), F.col("times").alias("n")),
             self.store.by_profile().select(F.lit("profile").alias("section"), F.col("profile").alias("name"), "n"),
             self.store.coverage().select(F.lit("coverage").alias("section"), F.col("coverage").alias("name"), F.col("failed").alias("n")),
         ]
-        for table in ("defs", "classes", "imports", "call_site"):
-            parts.append(self.store.table(table).agg(F.count("*").alias("n")).select(F.lit("table").alias("section"), F.lit(table).alias("name"), "n"))
+        for table in ("defs", "classes", "call_site"):
+            parts.append(size(self.store.table(table).agg(F.count("*").alias("n")), table))
+        parts.append(size(counts.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")), "imports"))
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)

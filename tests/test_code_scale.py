@@ -1,12 +1,14 @@
 """Code-fact questions whose plans or tables must not grow with the square of the code base."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from navgraph.config import AnalysisConfig
 from navgraph.impact import Impact
 from navgraph.navigation import Navigator
 from navgraph.plans import codebase
 from navgraph.resources import Resources
+from navgraph.sources.store import FrameStore
 
 SF = "/root/testdata/sf0.01"
 
@@ -69,6 +71,34 @@ def test_context_joins_no_product(spark, small_broadcasts):
     assert "CartesianProduct" not in plan(codebase.code_context(spark, SF))
 
 
+def test_context_reads_every_import_once(spark):
+    own, read = codebase.store(spark, SF), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(module):
+        read.add(1)
+        return module
+
+    imports = own.table("imports")
+    counted = imports.withColumn("module", seen.asNondeterministic()("module"))
+    told = Navigator(FrameStore(spark, own.files(), own._tables | {"imports": counted}), AnalysisConfig(SF)).context(compact=True).collect()
+    assert read.value == imports.count() == {r["name"]: r["n"] for r in told if r["section"] == "table"}["imports"]
+
+
+def test_context_tells_the_hubs_and_modules_of_the_whole(spark):
+    """Two names of one file, a file that imports itself, repeats, modules outside with and without a name, no module."""
+    files = spark.createDataFrame([(m.replace(".", "/") + ".py", m, 1, True, "full") for m in ("a", "p.b", "p.c", "p.d")], "file string, module string, length long, parse_ok boolean, profile string")
+    rows = [("a.py", "p", "b"), ("a.py", "p.b", None), ("a.py", "p.b", "f"), ("p/b.py", "p.b", "f"), ("p/c.py", "p.b", "f"), ("p/c.py", "p.b", "g"), ("p/c.py", "p", "c")]
+    rows += [("a.py", "os", None), ("p/c.py", "os", "path"), ("p/d.py", "os", "path"), ("p/d.py", "p", "x"), ("p/d.py", "", "y"), ("p/d.py", "a", None)]
+    imports = spark.createDataFrame([(*row, k) for k, row in enumerate(rows)], "file string, module string, name string, line long")
+    imports = imports.withColumns({"alias": F.lit(None).cast("string"), "scope": F.lit("")})
+    told = Navigator(FrameStore(spark, files, {"imports": imports}), AnalysisConfig(SF)).context()
+    found = {s: [(r["name"], r["n"]) for r in told.where(F.col("section") == s).collect()] for s in ("hub", "external", "table")}
+    assert found["hub"] == [("p/b.py", 2), ("a.py", 1)]
+    assert found["external"] == [("os", 3), ("p", 1)]
+    assert dict(found["table"]) == {"defs": 0, "classes": 0, "imports": len(rows), "call_site": 0}
+
+
 def test_importers_of_few_files_make_no_edges_of_all(spark, small_broadcasts):
     nav = Navigator(codebase.store(spark, SF), AnalysisConfig(SF))
     changes = spark.createDataFrame([("ext_3.py", None, None), (nav.store.files().first()["file"], None, None)], "file string, diff string, old_text string")

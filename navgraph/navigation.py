@@ -165,13 +165,13 @@ class Navigator:
         return self.graph._once("import_edges", kept=True, make=lambda: self._import_targets().where("dst IS NOT NULL AND dst <> file").select(F.col("file").alias("src"), "dst").distinct())
 
     def _import_counts(self) -> DataFrame:
-        """``dst, module, n, times``: every imported file (``module`` is null) and module outside (``dst`` is null) with
-        the number of files that import it, itself left out, and of imports. One pass over the imports."""
+        """``dst, module, n, times``: every imported file (``module`` is null) with the number of other files that import
+        it and of imports, every module outside (``dst`` is null) with the number of imports. One pass over the imports."""
         def make():
-            outside = F.when(F.col("dst").isNull(), F.col("module")).alias("module")
-            pairs = self._import_targets().groupBy("dst", outside, "file").agg(F.count("*").alias("times"))  # by pair, so that a hub is spread out
-            others = F.count_if(F.col("dst").isNull() | (F.col("dst") != F.col("file")))
-            return pairs.groupBy("dst", "module").agg(others.alias("n"), F.sum("times").alias("times"))
+            inside = F.col("dst").isNotNull()
+            told = self._import_targets().select("dst", F.when(~inside, F.col("module")).alias("module"), F.when(inside, F.col("file")).alias("file"))
+            pairs = told.groupBy("dst", "module", "file").agg(F.count("*").alias("times"))  # by pair, so that a hub is spread out
+            return pairs.groupBy("dst", "module").agg(F.count_if(F.col("dst") != F.col("file")).alias("n"), F.sum("times").alias("times"))
         return self.graph._once("import_counts", make, kept=True)
 
     def external(self, scope: str = "") -> DataFrame:

@@ -7,7 +7,7 @@ facts are plain SQL that both engines read; the answers come from the navigator
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,12 +126,11 @@ def _facts(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def store(spark: SparkSession, sf_dir: str) -> FrameStore:
-    """The facts as a store of DataFrames."""
-    frame = lambda sql: _facts(spark, sf_dir, sql)
-    tables = {name: frame(sql) for name, sql in FRAMES.items()}
+    """The facts as a store of DataFrames, each made when a question first asks for it."""
+    tables = {name: partial(_facts, spark, sf_dir, sql) for name, sql in FRAMES.items()}
     bases = F.when(F.col("base").isNull(), F.array().cast("array<string>")).otherwise(F.array("base"))
-    tables["classes"] = tables["classes"].withColumn("bases", bases)
-    return FrameStore(spark, frame(FILES), tables)
+    tables["classes"] = lambda: _facts(spark, sf_dir, FRAMES["classes"]).withColumn("bases", bases)
+    return FrameStore(spark, _facts(spark, sf_dir, FILES), tables)
 
 
 @cache

@@ -295,11 +295,12 @@ class FactStore:
 
 class FrameStore(FactStore):
     """Facts given as DataFrames (``tables`` by name, ``file`` and the columns of ``schema.FACTS``), for facts that
-    another system keeps; tables that are not given are empty. ``files`` has the columns of ``FactStore.files``."""
+    another system keeps; tables that are not given are empty, and one given as a function is made when it is first
+    asked for. ``files`` has the columns of ``FactStore.files``."""
 
-    def __init__(self, spark: SparkSession, files: DataFrame, tables: dict[str, DataFrame]):
+    def __init__(self, spark: SparkSession, files: DataFrame, tables: dict[str, DataFrame | Callable[[], DataFrame]]):
         super().__init__(spark, "")
-        self._files, self._tables = files, tables
+        self._files, self._tables = files, dict(tables)
 
     def previous(self) -> FactStore | None:
         return None
@@ -317,4 +318,6 @@ class FrameStore(FactStore):
         columns = {"file": "string", **FACTS[name]}
         if name not in self._tables:
             return self.spark.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in columns.items()))
+        if callable(self._tables[name]):
+            self._tables[name] = self._tables[name]()
         return self._tables[name].select(*(F.col(c).cast(t).alias(c) for c, t in columns.items()))

@@ -40,6 +40,15 @@ def test_a_store_reads_each_footer_once(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+def test_a_table_is_made_when_it_is_asked_for(spark, monkeypatch):
+    made, real = [], codebase._facts
+    monkeypatch.setattr(codebase, "_facts", lambda spark, sf_dir, sql: made.append(sql) or real(spark, sf_dir, sql))
+    own = codebase.store(spark, SF)
+    assert made == [codebase.FILES]
+    assert own.table("defs").columns == own.table("defs").columns
+    assert made == [codebase.FILES, codebase.FRAMES["defs"]]
+
+
 def test_remote_calls_meet_at_the_frontier(spark):
     """The kept edges hold calls and callbacks; the pairs of all remote calls and all methods of a name are not in them."""
     own = Impact(codebase.navigator(spark, SF))
